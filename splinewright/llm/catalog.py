@@ -1,8 +1,8 @@
 """Registry of this subpackage's queries and their SQL."""
 
-from . import mixing
+from . import mixing, packing, sharding
 
-_MODULES = [mixing]
+_MODULES = [packing, sharding, mixing]
 
 
 def queries() -> dict:
