@@ -1,8 +1,8 @@
 """Registry of this subpackage's queries and their SQL."""
 
-from . import mixing, packing, sharding
+from . import mixing, ngramjoin, packing, sharding, toxicity
 
-_MODULES = [packing, sharding, mixing]
+_MODULES = [packing, sharding, ngramjoin, toxicity, mixing]
 
 
 def queries() -> dict:
