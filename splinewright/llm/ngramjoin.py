@@ -53,13 +53,16 @@ class _Powers:
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
 
+    @staticmethod
+    def _series(base: int, size: int) -> np.ndarray:
+        out = np.full(size, base, np.uint64)
+        out[0] = 1
+        return np.cumprod(out, dtype=np.uint64)
+
     def get(self, n: int):
         if len(self.up) < n:
-            with np.errstate(over="ignore"):
-                inverse = pow(_BASE, -1, 1 << 64)
-                size = max(n, 2 * len(self.up))
-                self.up = np.cumprod(np.concatenate(([1], np.full(size - 1, _BASE, np.uint64))).astype(np.uint64))
-                self.down = np.cumprod(np.concatenate(([1], np.full(size - 1, inverse, np.uint64))).astype(np.uint64))
+            size = max(n, 2 * len(self.up))
+            self.up, self.down = (self._series(x, size) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
         return self.up[:n], self.down[:n]
 
 
