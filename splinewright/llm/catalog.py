@@ -1,8 +1,8 @@
 """Registry of this subpackage's queries and their SQL."""
 
-from . import mixing, ngramjoin, packing, sharding, toxicity
+from . import htmltext, mixing, ngramjoin, packing, sharding, toxicity, urlfilter
 
-_MODULES = [packing, sharding, ngramjoin, toxicity, mixing]
+_MODULES = [packing, sharding, urlfilter, ngramjoin, htmltext, toxicity, mixing]
 
 
 def queries() -> dict:

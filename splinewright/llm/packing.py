@@ -185,14 +185,14 @@ def certificate(packed: DataFrame, capacity: int = 2048) -> tuple[int, int]:
     return used, lower_bound(np.repeat([r["length"] for r in hist], [r["count"] for r in hist]).astype(np.int64), capacity)
 
 
-def _tokenizer() -> str:
+def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_packing(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"), _tokenizer())
+    return pack(table(spark, sf_dir, "documents"), default_tokenizer())
 
 
 QUERIES = {"op1_packing": op1_packing}
