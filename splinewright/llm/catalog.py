@@ -1,8 +1,8 @@
 """Registry of this subpackage's queries and their SQL."""
 
-from . import htmltext, mixing, ngramjoin, packing, sharding, toxicity, urlfilter
+from . import embeddings, htmltext, licenses, mixing, ngramjoin, packing, sharding, topk, toxicity, urlfilter
 
-_MODULES = [packing, sharding, urlfilter, ngramjoin, htmltext, toxicity, mixing]
+_MODULES = [packing, topk, sharding, embeddings, urlfilter, ngramjoin, htmltext, licenses, toxicity, mixing]
 
 
 def queries() -> dict:
