@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,11 @@ class Workspace:
         out._staged_at = where
         return out
 
+    def release(self) -> None:
+        """Lets go of shuffle files that no plan refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes staged tables that no later plan reads."""
         for df in frames:

@@ -7,11 +7,11 @@ which of their rarest shared n-grams stand in their prefix: two texts that link
 least one in common. Overlaps of candidate pairs are counted fragment by fragment and
 summed per pair, then compared exactly.
 
-Not all pairs of a group are made: each prefix n-gram first links its texts to one leader
-(its most shared text). Components of the verified links are found, and only pairs that
-still lie in different components and share a prefix n-gram are verified after that,
-until none is left. So a group of near copies costs as many pairs as it has members, and
-no link between different texts is lost.
+Not all pairs of a group are made. Prefix n-grams in common connect texts into clusters,
+within which all links lie. A cluster's most shared text is compared with all others
+first; only texts that then lie in different components are compared further, in blocks
+of which just the links that join components leave. So a group of near copies costs as
+many pairs as it has members, and no link between different texts is lost.
 
 Texts with equal sets are one class from the start. N-grams that a hundredth of all
 texts or more have (at most 100 times the mean set size of them) skip the counting, so
@@ -22,7 +22,7 @@ Defined cases: words are runs of non-white-space with A-Z lower-cased; a text of
 than n words is one n-gram; null or empty texts have no n-grams and link with nothing;
 repeated rows are of one class; a null id is never a component's name unless nothing
 else is there; an empty table gives an empty result; only id and text are read. N-grams
-and classes are told apart by 64-bit fingerprints.
+are told apart by 56-bit fingerprints, classes by 64-bit ones.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ SLICE = 1000  # documents hashed at a time
 HEAVY = 0.01
 SUMS = 4  # parts of a text in which overlaps are counted
 SALTS = 4096
-STAR_ROUNDS = 4
+BLOCK = 256  # texts of a cluster that one task compares with as many others
+PART = 8192  # n-grams whose overlaps a block counts at a time
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -89,7 +90,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-    return np.unique(h)
+    return np.unique(h >> np.uint64(8))
 
 
 def _signature(h: np.ndarray) -> int:
@@ -152,18 +153,24 @@ def _postings(docs: DataFrame, n: int, id_col: str, text_col: str, fragments: in
                     o = own[s : s + c]
                     rs, rc = _runs(o)
                     heads = np.column_stack((sigs[o[rs]], sizes[o[rs]], rc)).astype(np.int64)
-                    rows.append((int(frag[s]), heads[:, 0].tobytes(), heads[:, 1:].astype(np.int32).tobytes(), h[s : s + c].tobytes()))
+                    rows.append((int(frag[s]), heads[:, 0].tobytes(), heads[:, 1:].astype(np.int32).tobytes(), _shorten(h[s : s + c])))
                 yield pd.DataFrame(rows, columns=["fragment", "sigs", "sizes", "hashes"])
 
     src = docs.select(F.col(text_col).alias("text"))
     return src.mapInPandas(run, "fragment int, sigs binary, sizes binary, hashes binary")
 
 
+def _shorten(h: np.ndarray) -> bytes:
+    """Fingerprints have 56 bits: seven bytes each."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
 def _unpack(group: pd.DataFrame):
     """Class, set size and hash of each posting of a packed group."""
     sigs = np.concatenate([np.frombuffer(x, np.int64) for x in group["sigs"]])
     sizes = np.concatenate([np.frombuffer(x, np.int32).reshape(-1, 2) for x in group["sizes"]])
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in group["hashes"]])
+    h = np.frombuffer(b"".join(group["hashes"]), np.uint8).reshape(-1, 7)
+    h = np.column_stack((h, np.zeros(len(h), np.uint8))).view(np.uint64).ravel()
     return np.repeat(sigs, sizes[:, 1]), np.repeat(sizes[:, 0], sizes[:, 1]), h
 
 
@@ -192,7 +199,7 @@ def _shared(fragments: int):
         for s, c in zip(*_runs(bucket)):
             o = sig[s : s + c]
             rs, rc = _runs(o)
-            rows.append((int(bucket[s]), o[rs].tobytes(), np.column_stack((size[s : s + c][rs], rc)).astype(np.int32).tobytes(), h[s : s + c].tobytes(), df[s : s + c].tobytes()))
+            rows.append((int(bucket[s]), o[rs].tobytes(), np.column_stack((size[s : s + c][rs], rc)).astype(np.int32).tobytes(), _shorten(h[s : s + c]), df[s : s + c].tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "sigs", "sizes", "hashes", "dfs"])
 
     return run
@@ -234,41 +241,86 @@ def _near(percent: int):
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
 
+def _block_links(percent: int):
+    """Links between the texts of one block, or of two, that join components; overlaps are summed over parts of the n-gram order."""
+
+    def linked(grams, n, comp, side):
+        h, own = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        order = np.lexsort((own, h))
+        h, own = h[order], own[order]
+        starts, counts = _runs(h)
+        column = np.cumsum(np.repeat(counts > 1, counts) & np.isin(np.arange(len(h)), starts)) - 1
+        keep = np.repeat(counts > 1, counts)
+        column, own = column[keep], own[keep]
+        over = np.zeros((len(grams), len(grams)), np.float32)
+        for at in range(0, int(column.max(initial=-1)) + 1, PART):
+            part = (column >= at) & (column < at + PART)
+            held = np.zeros((len(grams), PART), np.float32)
+            held[own[part], column[part] - at] = 1
+            over += held @ held.T
+        good = 100 * over >= percent * (n[:, None] + n[None, :] - over)
+        good &= (comp[:, None] != comp[None, :]) & (np.arange(len(n))[:, None] < np.arange(len(n))[None, :])
+        if side is not None:
+            good &= side[:, None] != side[None, :]
+        return np.nonzero(good)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in group.groupby("cluster", sort=False):
+            side = part["side"].to_numpy()
+            a, b = linked(part["grams"].to_list(), part["n"].to_numpy(), part["comp"].to_numpy(), side if side.any() else None)
+            # Of all links, those of a forest are enough: each component once linked to another.
+            comp = np.unique(part["comp"].to_numpy(), return_inverse=True)[1]
+            lab, old = np.arange(comp.max() + 1), None
+            while old is None or (lab != old).any():
+                old = lab.copy()
+                low = np.minimum(lab[comp[a]], lab[comp[b]])
+                np.minimum.at(lab, comp[a], low)
+                np.minimum.at(lab, comp[b], low)
+                lab = lab[lab]
+            names = np.unique(part["comp"].to_numpy())
+            moved = np.flatnonzero(lab != np.arange(len(lab)))
+            out.append(pd.DataFrame({"a": names[moved], "b": names[lab[moved]]}))
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
 def class_components(ws: Workspace, live: DataFrame, percent: int) -> DataFrame:
-    """(sig, comp): components of linked classes, for the classes that link."""
-    posts = ws.stage(live.select("sig", "n", "s", F.explode("prefix").alias("h")), "posts")
-    links = comp = None
-    for step in range(STAR_ROUNDS + 1):
-        if comp is None:
-            now = posts.withColumn("comp", F.col("sig"))
-        else:
-            now = posts.join(comp, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        # N-grams whose texts lie in more than one component.
-        by = now.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
-        by = by.groupBy("h").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("m2"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        now = ws.stage(now.join(by.select("h"), "h", "left_semi"), "open")
-        cost = by.agg(F.sum((F.col("m") * F.col("m") - F.col("m2")) / 2).alias("c")).first()["c"]
-        if not cost:
-            break
-        few = cost <= 4 * posts.count() or step == STAR_ROUNDS
-        if few:
-            a = now.select("h", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            b = now.select("h", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = a.join(b, "h").where("ca < cb")
-        else:
-            # The leader: the text with the largest shared part; in later rounds another one by chance.
-            rank = F.struct(F.col("s") / F.col("n"), "n", "sig") if step == 0 else F.struct(F.xxhash64("sig", F.lit(step)), "n", "sig")
-            top = now.groupBy("h").agg(F.max(F.struct(rank.alias("r"), F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))).alias("t")).select("h", "t.a", "t.na", "t.ca")
-            pairs = now.select("h", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")).join(top, "h").where("ca <> cb")
-        pairs = ws.stage(pairs.where(_near(percent)).select("a", "b").distinct(), "pairs")
-        found = _verify(ws, live, pairs, percent)
-        links = found if links is None else links.unionAll(found)
-        comp = components(ws, links).select(F.col("node").alias("sig"), F.col("component").alias("comp"))
-        if few:
-            break
-    if comp is None:
-        comp = posts.select("sig", F.col("sig").alias("comp")).limit(0)
-    return comp
+    """(sig, comp): components of linked classes, for the classes that may link."""
+    posts = live.select("sig", F.explode("prefix").alias("h"))
+    # Clusters: texts connected by prefix n-grams in common. All links lie within them.
+    heads = posts.groupBy("h").agg(F.min("sig").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "a")
+    near = posts.join(heads, "h").where("sig <> a").select("a", F.col("sig").alias("b")).distinct()
+    cluster = ws.stage(components(ws, near).select(F.col("node").alias("sig"), F.col("component").alias("cluster")), "clusters")
+    texts = ws.stage(live.select("sig", "n", "s", "grams").join(cluster, "sig"), "texts")
+    # The text of a cluster with the largest shared part is compared with all others.
+    lead = texts.groupBy("cluster").agg(F.max(F.struct(F.col("s") / F.col("n"), "n", "sig")).alias("lead")).select("cluster", F.col("lead.sig").alias("a"), F.col("lead.n").alias("na"))
+    pairs = texts.select("cluster", F.col("sig").alias("b"), F.col("n").alias("nb")).join(lead, "cluster").where("a <> b").where(_near(percent))
+    pairs = ws.stage(pairs.select("a", "b"), "pairs")
+    links = _verify(ws, texts, pairs, percent)
+    comp = components(ws, links).select(F.col("node").alias("sig"), F.col("component").alias("comp"))
+    known = ws.stage(cluster.join(comp, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "known")
+    # Clusters that hold several components go on in blocks. A large component has blocks
+    # of its own, which needn't meet each other; small ones share blocks.
+    parts = known.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m"))
+    parts = parts.withColumn("kind", F.when(F.col("m") > BLOCK // 4, F.col("comp")))
+    kinds = parts.groupBy("cluster", "kind").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("k"))
+    open_ = kinds.groupBy("cluster").agg(F.sum("k").alias("k"), F.sum("m").alias("size"), F.collect_list(F.struct("kind", F.ceil(F.col("m") / BLOCK).cast("int").alias("subs"))).alias("kinds")).where("k > 1")
+    block = F.flatten(F.transform("kinds", lambda x: F.transform(F.sequence(F.lit(0), x["subs"] - 1), lambda i: F.struct(x["kind"].alias("kind"), i.alias("sub"), x["subs"].alias("subs")))))
+    open_ = ws.stage(open_.select("cluster", "size", F.when(F.col("size") > BLOCK, block).alias("blocks")), "open")
+    member = known.join(parts.select("cluster", "comp", "kind"), ["cluster", "comp"]).join(open_, "cluster")
+    small = member.where("size <= %d" % BLOCK).select("sig", "comp", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(SALTS)).alias("key"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(False).alias("side"))
+    large = member.where("size > %d" % BLOCK)
+    at = F.transform("blocks", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    mine = F.filter(at, lambda x: x["x"]["kind"].eqNullSafe(F.col("kind")) & (F.pmod(F.xxhash64("sig"), x["x"]["subs"]) == x["x"]["sub"]))
+    large = large.withColumn("mine", F.get(mine, F.lit(0))).withColumn("other", F.explode(at))
+    meet = F.col("kind").isNull() | ~F.col("kind").eqNullSafe(F.col("other.x.kind"))
+    i, j = F.least("mine.i", "other.i"), F.greatest("mine.i", "other.i")
+    large = large.where(meet).select("sig", "comp", "cluster", F.col("cluster").alias("key"), i.alias("i"), j.alias("j"), (F.col("mine.i") > F.col("other.i")).alias("side"))
+    blocks = small.unionAll(large).join(texts.select("sig", "n", "grams"), "sig")
+    more = ws.stage(blocks.groupBy("key", "i", "j").applyInPandas(_block_links(percent), "a long, b long"), "more")
+    return components(ws, links.unionAll(more)).select(F.col("node").alias("sig"), F.col("component").alias("comp"))
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,6 +337,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     shared = packed.repartition(2 * fragments, "fragment").groupBy("fragment").applyInPandas(_shared(fragments), "bucket int, sigs binary, sizes binary, hashes binary, dfs binary")
     live = shared.repartition(fragments, "bucket").groupBy("bucket").applyInPandas(_live(percent), "sig long, n long, s long, grams array<long>, prefix array<long>")
     live = ws.stage(live, "live")
+    del packed, shared
+    ws.release()
     comp = class_components(ws, live, percent)
     named = found.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("m"))
     named = named.join(comp, "sig", "left")
