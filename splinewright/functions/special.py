@@ -176,7 +176,7 @@ def weighted_chi2_sf(q: float, weights, df=None, nc=None, sigma: float = 0.0, to
             size = -0.25 * (df[:, None] * np.log1p(x * x)).sum(0) - (0.5 * nc[:, None] * x * x / (1 + x * x)).sum(0) - 0.5 * (sigma * u) ** 2
             total += float((np.exp(size) * np.sin(angle) / (np.arange(k0, k0 + block) + 0.5)).sum())
             k0 += block
-            if size[-1] < math.log(tol * 1e-2) - math.log(max(1.0, math.log(k0))):
+            if size[-1] - math.log(k0) < math.log(tol * 1e-2):
                 break
             if k0 > limit:
                 return float("nan"), 1
