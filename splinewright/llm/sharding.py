@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from ._common import Workspace, global_rank, offsets, ordered, table
 
 ROUNDS = 8
+SWAP_ROUNDS = 3
 #: A cell moves as a whole, to keep its group together, up to this share of a shard's quota.
 WHOLE = 0.125
+#: Parts of a group that are smaller than this share of a shard, and not its largest, are placed with the rest.
+SCATTERED = 0.25
 BLOCK = 4096
 
 
@@ -34,25 +37,39 @@ def _unit(*cols) -> "F.Column":
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / float(1 << 53)
 
 
+def _admit(flows: list[tuple[int, int, int]], room: list[int]) -> list[float]:
+    """The share of requests that each shard admits: what has room, and room that leavers make."""
+    p = [1.0] * len(room)
+    for _ in range(50):
+        left, asked = [max(0, r) for r in room], [0] * len(room)
+        for a, b, n in flows:
+            left[a] += n * p[b]
+            asked[b] += n
+        p = [min(x, r / n) if n else 0.0 for x, r, n in zip(p, left, asked)]
+    return p
+
+
 def _propagate(ws: Workspace, cells: DataFrame, quota: list[int], rounds: int) -> DataFrame:
     """Rounds of label propagation over cells(gid, shard, n) under the shards' quotas."""
     for step in range(rounds):
         load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
         room = [q - load.get(s, 0) for s, q in enumerate(quota)]
-        open_ = F.array(*[F.lit(r > 0) for r in room])
+        # Early on any shard may be asked, as moves free room too; later on only those that have some.
+        open_ = F.array(*[F.lit(r > 0 or step < SWAP_ROUNDS) for r in room])
         w = Window.partitionBy("gid")
         rank = F.struct("n", F.xxhash64("gid", "shard").alias("tie"))
         best = F.max(F.when(F.get(open_, F.col("shard")), F.struct(F.col("n").alias("n"), F.xxhash64("gid", "shard").alias("tie"), F.col("shard").alias("to")))).over(w)
         asked = cells.withColumn("best", best).withColumn("want", F.struct(F.col("best.n").alias("n"), F.col("best.tie").alias("tie")) > rank)
         asked = ws.stage(asked.withColumn("to", F.when(F.col("want"), F.col("best.to"))).drop("best", "want"), "asked")
-        demand = {r["to"]: r["n"] for r in asked.where("to is not null").groupBy("to").agg(F.sum("n").alias("n")).collect()}
-        if not demand:
+        flows = asked.where("to is not null").groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()  # shards^2 rows at most
+        if not flows:
             ws.drop(cells)
             return asked.select("gid", "shard", "n")
-        share = F.array(*[F.lit(min(1.0, max(0, r) / demand[s]) if s in demand else 0.0) for s, r in enumerate(room)])
+        rates = _admit([(r["shard"], r["to"], r["n"]) for r in flows], room)
+        share = F.array(*[F.lit(p) for p in rates])
         p = F.get(share, F.col("to"))
         whole = F.col("n") <= F.greatest(F.lit(1), F.floor(F.get(F.array(*[F.lit(q) for q in quota]), F.col("to")) * WHOLE))
-        moved = F.when(F.col("to").isNull(), 0).when(whole, F.when(_unit("gid", "to", F.lit(step)) < p, F.col("n")).otherwise(0)).otherwise(F.floor(F.col("n") * p))
+        moved = F.when(F.col("to").isNull(), 0).when(whole, F.when(_unit("gid", "to", F.lit(step)) < p, F.col("n")).otherwise(0)).otherwise(F.least(F.col("n"), F.floor(F.col("n") * p + _unit("gid", "shard", F.lit(step)))))
         both = asked.withColumn("moved", moved.cast("long")).select("gid", F.explode(F.array(F.struct("shard", (F.col("n") - F.col("moved")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("moved").alias("n")))).alias("c"))
         nxt = ws.stage(both.select("gid", "c.*").where("n > 0").groupBy("gid", "shard").agg(F.sum("n").alias("n")), "cells")
         ws.drop(cells, asked)
@@ -65,6 +82,10 @@ def _fit(cells: DataFrame, quota: list[int]) -> DataFrame:
 
     Loads are summed per shard and size class, so that no shard's cells meet in one task.
     """
+    # What is left of a large group in shards that others fill is better off side by side with the rest of it.
+    main = F.max("n").over(Window.partitionBy("gid"))
+    few = F.get(F.array(*[F.lit(q) for q in quota]), F.col("shard")) * SCATTERED
+    cells = cells.withColumn("main", main).where((F.col("n") >= F.col("main")) | (F.col("n") >= few)).drop("main")
     cls = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     cells = cells.withColumn("cls", cls).withColumn("part", F.pmod(F.xxhash64("gid"), F.lit(64)).cast("int"))
     sums = cells.groupBy("shard", "cls", "part").agg(F.sum("n").alias("s"))
@@ -96,8 +117,14 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     start = F.pmod(F.xxhash64("doc_id", "_m"), F.lit(shards)).cast("int")
     first = rows.where("gid is not null").groupBy("gid", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.min("_rank").alias("r"))
     first = ws.stage(first.withColumn("size", F.sum("n").over(Window.partitionBy("gid"))).withColumn("at", F.min("r").over(Window.partitionBy("gid"))).where("size > 1"), "links")
-    cells = ws.stage(first.select("gid", "shard", "n"), "cells")
-    cells = _fit(_propagate(ws, cells, quota, rounds), quota)
+    # Large groups first, while all others count as movable; then the small ones in the room that is left.
+    is_large = F.col("size") > WHOLE * min(quota)
+    large = _propagate(ws, ws.stage(first.where(is_large).select("gid", "shard", "n"), "large"), quota, rounds)
+    large = ws.stage(_fit(large, quota), "large")
+    taken = {r["shard"]: r["n"] for r in large.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
+    rest = [q - taken.get(s, 0) for s, q in enumerate(quota)]
+    small = _propagate(ws, ws.stage(first.where(~is_large).select("gid", "shard", "n"), "small"), rest, rounds)
+    cells = large.unionAll(_fit(small, rest))
 
     # A group's rows follow each other in the global order: its cells are ranges there, the unplaced rest comes last.
     w = Window.partitionBy("gid").orderBy(F.desc("n"), "shard").rowsBetween(Window.unboundedPreceding, -1)

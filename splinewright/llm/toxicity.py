@@ -201,8 +201,9 @@ def train(docs: list[tuple[str, int]]) -> dict | None:
     docs = _distinct(docs)
     if len({y for _, y in docs}) < 2:
         return None
-    fit = [d for k, d in enumerate(docs) if k % 4]
-    held = [d for k, d in enumerate(docs) if k % 4 == 0]
+    part = [zlib.crc32(" ".join(words).encode("utf-8", "surrogatepass")) % 4 for words, _ in docs]
+    fit = [d for k, d in zip(part, docs) if k]
+    held = [d for k, d in zip(part, docs) if not k]
     n = Counter(y for _, y in fit)
     # Sentences of clean documents are clean; in toxic ones the telling words are sought:
     # those, or those with a beginning, that chance would hardly put into toxic documents so often.
