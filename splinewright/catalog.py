@@ -151,8 +151,8 @@ def _knots(k: int, x: str, name: str):
     sql = f"SELECT unnest(range({k})) AS j, round(unnest(quantile_cont(x, [{at}])), 6) + 0.0 AS knot FROM (SELECT DISTINCT CAST({x} AS DOUBLE) AS x FROM {name})"
 
     def run(spark, sf_dir):
-        found = knots(table(spark, sf_dir, name), x, k).select(F.posexplode("knots").alias("j", "knot"))
-        return rounded(found.withColumn("j", F.col("j").cast("long")))
+        found, _ = knots(table(spark, sf_dir, name), x, k)
+        return rounded(spark.createDataFrame([(j, float(v)) for j, v in enumerate(found)], "j long, knot double"))
 
     query(f"knots_{x}_k{k}", sql)(run)
 

@@ -84,13 +84,19 @@ class GAM:
         variables, fam = self.spec.variables(), self.family_
         width = 8 * (len(variables) + len(ROW))
         exact = type(fam) in (Gaussian, Binomial, Poisson, Gamma)
-        distinct = rows.agg(F.approx_count_distinct(F.xxhash64(*variables, "__off"))).first()[0] if variables else 1
-        table = self._compressed(rows) if exact and distinct <= COMPRESS * n else self._plain(rows)
-        size = min(distinct * 1.2, n) if exact and distinct <= COMPRESS * n else n
+        distinct = self._sums["distinct"]
+        compress = exact and distinct <= COMPRESS * n
+        table = self._compressed(rows) if compress else self._plain(rows)
+        size = min(distinct * 1.2, n) if compress else n
         if self.local and size * width <= LOCAL_ROW_BYTES and size * setup.p * 8 <= LOCAL_MATRIX_BYTES:
-            cols = columns_of(table.toArrow().combine_chunks().to_batches()[0])
+            # Rows that stand for themselves need no sums beside their response.
+            found = (table if compress else rows).toArrow().combine_chunks().to_batches()
+            cols = columns_of(found[0])
+            if not compress:
+                y = cols["__resp"]
+                cols |= {"__y": y, "__sy": y, "__n": np.ones(len(y)), "__ss": np.zeros(len(y)), "__d0": np.zeros(len(y))}
             row = {k: np.asarray(cols[f"__{k}"], float) for k in ROW}
-            self.execution_path_ = "local" if size == n else "compressed"
+            self.execution_path_ = "compressed" if compress else "local"
             return LocalEngine(setup.eval(cols) if variables else np.ones((len(row["y"]), setup.p)), row, fam)
         self.execution_path_ = "spark"
         return SparkEngine(table.persist(), setup, fam)
@@ -101,15 +107,13 @@ class GAM:
         try:
             named = rows.withColumnRenamed("__resp", self.spec.response) if self.spec.response not in rows.columns else rows.drop(self.spec.response).withColumnRenamed("__resp", self.spec.response)
             self.n_ = check_quality(named, self.spec.response, [*self.spec.variables(), "__w", "__off"])
-            if rows.where("__w < 0").limit(1).count():
-                raise ValueError("Weights must not be negative")
-            self.setup_ = setup = Setup(self.spec, rows.select(*self.spec.variables()), self.factors)
+            self._saturated(rows)
+            self.setup_ = setup = Setup(self.spec, rows.select(*self.spec.variables()), self.factors, self.n_)
             if setup.p > self.n_:
                 raise ValueError(f"The model has {setup.p} coefficients and only {self.n_} observations")
-            self._saturated(rows)
             engine = self._engine(rows, setup, self.n_)
             self._optimise(engine)
-            self._finish(rows)
+            self._finish(rows, engine)
             if isinstance(engine, SparkEngine):
                 engine.df.unpersist()
         finally:
@@ -127,7 +131,10 @@ class GAM:
             aggs["log_y"] = F.sum(F.when(on, F.log(F.greatest(y, F.lit(1e-10)))).otherwise(0.0))
         elif not isinstance(fam, Gaussian):
             aggs["saturated"] = F.sum(fam.saturated(y, w, 1.0))
+        aggs |= {"negative": F.count_if(w < 0), "distinct": F.approx_count_distinct(F.xxhash64(*self.spec.variables(), "__off"))}
         sums = rows.agg(*[c.alias(k) for k, c in aggs.items()]).first().asDict()
+        if sums["negative"]:
+            raise ValueError("Weights must not be negative")
         if isinstance(fam, Gamma):
             found = rows.where("__w > 0").groupBy("__w").count().limit(100_001).collect()
             if len(found) > 100_000:
@@ -236,16 +243,23 @@ class GAM:
             d[at, at] = (vec * scale)[size, size]
         return d
 
-    def _finish(self, rows: DataFrame) -> None:
+    def _finish(self, rows: DataFrame, engine) -> None:
         """Residual variance for R squared, over the rows themselves."""
         setup, fam, beta = self.setup_, self.family_, self.coefficients_
 
+        def moments(x, w, y, off):
+            r = np.sqrt(w) * (y - fam.link.inverse(x @ beta + off))
+            return [float(len(r)), r.sum(), (r * r).sum()]
+
         def step(cols):
             x = setup.eval(cols) if len(cols) > 3 else np.ones((len(cols["__w"]), setup.p))
-            r = np.sqrt(cols["__w"]) * (cols["__resp"] - fam.link.inverse(x @ beta + cols["__off"]))
-            return [float(len(r)), r.sum(), (r * r).sum()]
+            return moments(x, cols["__w"], cols["__resp"], cols["__off"])
 
-        n, s, q = (float(v) for v in fold(rows, step))
+        if self.execution_path_ == "local":
+            found = moments(engine.x, engine.rows["w"], engine.rows["y"], engine.rows["off"])
+        else:
+            found = fold(rows, step)
+        n, s, q = (float(v) for v in found)
         self._resid_var = (q - s * s / n) / (n - 1)
         rdf = self.n_ - self.edf_total_
         self.r_squared_ = None if rdf <= 0 or n <= 1 or not self._null_var else 1 - self._resid_var * (n - 1) / (self._null_var * rdf)

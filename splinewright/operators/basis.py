@@ -51,10 +51,9 @@ class Cubic(Basis):
 
     def setup(self, facts) -> None:
         x = self.variables[0]
-        n = facts.n_distinct(x)
-        if self.k > n:
-            raise ValueError(f"{self.spec.label}: k={self.k} is more than the {n} distinct values of {x}")
         self.knots = np.asarray(facts.distinct_percentiles(x, self.k), float)
+        if self.k > (n := facts.n_distinct(x)):
+            raise ValueError(f"{self.spec.label}: k={self.k} is more than the {n} distinct values of {x}")
         self.curve, s = (self._cyclic if self.cyclic else self._natural)()
         self.n_coefs = len(s)
         self.ranks, self.null_dim = [self.k - 2], 1 if self.cyclic else 2

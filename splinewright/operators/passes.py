@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Partial sums that the driver adds itself; beyond it they are added by groups first.
 TREE = 64
+#: Bytes of one column up to which its distinct values are sorted on the driver.
+LOCAL_COLUMN_BYTES = 32 << 20
 
 
 def columns_of(batch) -> dict:
@@ -84,8 +86,9 @@ def fold(df: DataFrame, step, combine=None) -> list[np.ndarray]:
 class Facts:
     """Answers of aggregate questions about a table, each asked once."""
 
-    def __init__(self, df: DataFrame, numeric: list[str]):
+    def __init__(self, df: DataFrame, numeric: list[str], n: int | None = None):
         self.df = df
+        self.n = df.count() if n is None else n
         row = {}
         if numeric:
             row = df.agg(*[f(F.col(f"`{c}`")).alias(f"{k}{i}") for i, c in enumerate(numeric) for k, f in (("lo", F.min), ("hi", F.max), ("mu", F.mean))]).first().asDict()
@@ -105,9 +108,15 @@ class Facts:
             self._distinct[x] = self.df.agg(F.count_distinct(F.col(f"`{x}`"))).first()[0]
         return self._distinct[x]
 
-    def distinct_percentiles(self, x: str, k: int) -> list[float]:
-        """k evenly spaced fractional ranks through the sorted distinct values."""
-        return knots(self.df, x, k).first()["knots"]
+    def distinct_percentiles(self, x: str, k: int) -> np.ndarray:
+        """k evenly spaced fractional ranks through the sorted distinct values; their number comes with them."""
+        if self.n * 8 <= LOCAL_COLUMN_BYTES:
+            found = self.df.select(F.col(f"`{x}`").cast("double").alias("x")).toArrow().column("x").to_numpy()
+            values = np.unique(found)
+            self._distinct[x] = len(values)
+            return np.interp(np.arange(k) * ((len(values) - 1) / (k - 1)), np.arange(len(values)), values)
+        out, self._distinct[x] = knots(self.df, x, k)
+        return out
 
     def distinct_rows(self, xs: list[str], most: int) -> np.ndarray:
         """Distinct covariate rows in lexicographic order, or a seeded choice of `most` of them.
@@ -148,10 +157,26 @@ class Facts:
         return self._sums[key]
 
 
-def knots(df: DataFrame, x: str, k: int) -> DataFrame:
-    """One row with an array of k knots; `percentile` over distinct values interpolates just as knot placement does."""
-    at = [i / (k - 1) for i in range(k)]
-    return df.select(F.col(f"`{x}`").cast("double").alias("x")).distinct().agg(F.percentile("x", F.array(*[F.lit(p) for p in at])).alias("knots"))
+def knots(df: DataFrame, x: str, k: int) -> tuple[np.ndarray, int]:
+    """k knots, and the number of distinct values, for columns of any length.
+
+    Distinct values are range-partitioned and sorted; a row's rank is its partition's
+    offset plus its place there, so only the rows at the wanted ranks come to the driver.
+    """
+    values = df.select(F.col(f"`{x}`").cast("double").alias("x")).distinct().repartitionByRange("x").sortWithinPartitions("x")
+    values = values.withColumn("at", F.monotonically_increasing_id()).persist()
+    counts = sorted((r["p"], r["count"]) for r in values.groupBy(F.shiftright("at", 33).alias("p")).count().collect())  # one row a partition
+    n = sum(c for _, c in counts)
+    rank = np.arange(k) * ((n - 1) / (k - 1))
+    wanted = sorted({int(r) for r in np.concatenate((np.floor(rank), np.ceil(rank)))})
+    place, start = {}, 0
+    for p, c in counts:
+        place |= {(p << 33) + r - start: r for r in wanted if start <= r < start + c}
+        start += c
+    rows = values.where(F.col("at").isin(list(place))).collect()
+    values.unpersist()
+    found = sorted((place[r["at"]], r["x"]) for r in rows)
+    return np.interp(rank, [a for a, _ in found], [b for _, b in found]), n
 
 
 def tsqr(df: DataFrame, eval_rows) -> np.ndarray:

@@ -85,7 +85,7 @@ def factor_levels(df: DataFrame, name: str) -> DataFrame:
 class Setup:
     """A bound formula: evaluates rows of the model matrix, and knows penalties and names."""
 
-    def __init__(self, spec: FormulaSpec, df: DataFrame, factors: dict[str, Factor] | None = None):
+    def __init__(self, spec: FormulaSpec, df: DataFrame, factors: dict[str, Factor] | None = None, n: int | None = None):
         self.spec, factors = spec, factors or {}
         self.factor_names = [v for v in spec.variables() if is_string(df, v)]
         self.levels: dict[str, list[str]] = {}
@@ -96,7 +96,7 @@ class Setup:
             given = factors.get(name)
             self.levels[name] = list(given.levels) if given and given.levels else list(found)
         numeric = [v for v in spec.variables() if v not in self.factor_names]
-        self.facts = Facts(df, numeric)
+        self.facts = Facts(df, numeric, n)
         self.ranges = {v: self.facts.range(v) for v in numeric}
         self._parametric()
         self.terms = [self._term(s, factors) for s in spec.smooths]
