@@ -51,7 +51,7 @@ class Workspace:
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         self._n += 1
         where = f"{self.root}/{self._n}-{name}"
-        df.write.option("compression", "zstd").parquet(where)
+        df.write.option("compression", "snappy").parquet(where)  # little native memory per open file
         out = self.spark.read.schema(df.schema).parquet(where)
         out._staged_at = where
         return out

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._common import Workspace, global_rank, offsets, ordered, table
 
-ROUNDS = 8
+ROUNDS = (5, 3)  # of large groups, of small ones
 SWAP_ROUNDS = 3
 #: A cell moves as a whole, to keep its group together, up to this share of a shard's quota.
 WHOLE = 0.125
@@ -99,7 +99,7 @@ def _fit(cells: DataFrame, quota: list[int]) -> DataFrame:
     return cells.select("gid", "shard", kept.cast("long").alias("n")).where("n > 0")
 
 
-def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[int, int] = ROUNDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     ws = Workspace(docs.sparkSession, "sharding")
     text = F.col(text_col)
@@ -119,11 +119,11 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     first = ws.stage(first.withColumn("size", F.sum("n").over(Window.partitionBy("gid"))).withColumn("at", F.min("r").over(Window.partitionBy("gid"))).where("size > 1"), "links")
     # Large groups first, while all others count as movable; then the small ones in the room that is left.
     is_large = F.col("size") > WHOLE * min(quota)
-    large = _propagate(ws, ws.stage(first.where(is_large).select("gid", "shard", "n"), "large"), quota, rounds)
+    large = _propagate(ws, ws.stage(first.where(is_large).select("gid", "shard", "n"), "large"), quota, rounds[0])
     large = ws.stage(_fit(large, quota), "large")
     taken = {r["shard"]: r["n"] for r in large.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
     rest = [q - taken.get(s, 0) for s, q in enumerate(quota)]
-    small = _propagate(ws, ws.stage(first.where(~is_large).select("gid", "shard", "n"), "small"), rest, rounds)
+    small = _propagate(ws, ws.stage(first.where(~is_large).select("gid", "shard", "n"), "small"), rest, rounds[1])
     cells = large.unionAll(_fit(small, rest))
 
     # A group's rows follow each other in the global order: its cells are ranges there, the unplaced rest comes last.
