@@ -2,7 +2,8 @@
 
 Documents are linked when their texts are equal; a shard is a label. Each round every
 document looks at the labels of its neighbours and asks to move to the shard that holds
-most of them and has room; a shard admits the share of the requests that its quota
+most of them and has room (a group larger than a shard: to one of as many shards as it
+fills); rounds go on until no one asks or the cut no longer falls. A shard admits the share of the requests that its quota
 allows, so sizes stay even and fewer links are cut. Shards are even in rows: counts
 differ by one at most (law `rows`).
 
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ._common import Workspace, global_rank, offsets, ordered, table
 
-ROUNDS = (5, 3)  # of large groups, of small ones
+#: The fewest rounds, if cells ask for them; more follow as long as the cut falls.
+ROUNDS = 8
 SWAP_ROUNDS = 3
 #: A cell moves as a whole, to keep its group together, up to this share of a shard's quota.
 WHOLE = 0.125
@@ -50,17 +52,30 @@ def _admit(flows: list[tuple[int, int, int]], room: list[int]) -> list[float]:
 
 
 def _propagate(ws: Workspace, cells: DataFrame, quota: list[int], rounds: int) -> DataFrame:
-    """Rounds of label propagation over cells(gid, shard, n) under the shards' quotas."""
-    for step in range(rounds):
-        load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
+    """Label propagation over cells(gid, shard, n) under the shards' quotas.
+
+    Ends when no cell asks to move, or when after `rounds` rounds the cut no longer falls.
+    """
+    step, before = 0, -1.0
+    quotas = F.array(*[F.lit(q) for q in quota])
+    while True:
+        # One row a shard: its load, and the squares of its cells, whose sum is greater the fewer links are cut.
+        sums = cells.groupBy("shard").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("kept")).collect()
+        load, kept = {r["shard"]: r["n"] for r in sums}, sum(r["kept"] for r in sums)
+        if step >= rounds and kept <= before:
+            return cells
+        before = kept
         room = [q - load.get(s, 0) for s, q in enumerate(quota)]
         # Early on any shard may be asked, as moves free room too; later on only those that have some.
         open_ = F.array(*[F.lit(r > 0 or step < SWAP_ROUNDS) for r in room])
         w = Window.partitionBy("gid")
-        rank = F.struct("n", F.xxhash64("gid", "shard").alias("tie"))
-        best = F.max(F.when(F.get(open_, F.col("shard")), F.struct(F.col("n").alias("n"), F.xxhash64("gid", "shard").alias("tie"), F.col("shard").alias("to")))).over(w)
-        asked = cells.withColumn("best", best).withColumn("want", F.struct(F.col("best.n").alias("n"), F.col("best.tie").alias("tie")) > rank)
-        asked = ws.stage(asked.withColumn("to", F.when(F.col("want"), F.col("best.to"))).drop("best", "want"), "asked")
+        own = F.struct("n", F.xxhash64("gid", "shard").alias("tie"), "shard")
+        # A group asks for as many shards as it fills, its largest ones; each of its other cells asks for one of these.
+        need = F.ceil(F.sum("n").over(w) / max(1, *quota)).cast("int")
+        best = F.slice(F.sort_array(F.collect_list(F.when(F.get(open_, F.col("shard")), own)).over(w), asc=False), F.lit(1), need)
+        asked = cells.withColumn("best", best).withColumn("one", F.get("best", F.pmod(F.xxhash64("gid", "shard", F.lit(step)), F.greatest(F.size("best"), F.lit(1))).cast("int")))
+        want = (F.col("one") > own) & ~F.array_contains(F.col("best.shard"), F.col("shard"))
+        asked = ws.stage(asked.withColumn("to", F.when(want, F.col("one.shard"))).drop("best", "one"), "asked")
         flows = asked.where("to is not null").groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()  # shards^2 rows at most
         if not flows:
             ws.drop(cells)
@@ -68,13 +83,12 @@ def _propagate(ws: Workspace, cells: DataFrame, quota: list[int], rounds: int) -
         rates = _admit([(r["shard"], r["to"], r["n"]) for r in flows], room)
         share = F.array(*[F.lit(p) for p in rates])
         p = F.get(share, F.col("to"))
-        whole = F.col("n") <= F.greatest(F.lit(1), F.floor(F.get(F.array(*[F.lit(q) for q in quota]), F.col("to")) * WHOLE))
+        whole = F.col("n") <= F.greatest(F.lit(1), F.floor(F.get(quotas, F.col("to")) * WHOLE))
         moved = F.when(F.col("to").isNull(), 0).when(whole, F.when(_unit("gid", "to", F.lit(step)) < p, F.col("n")).otherwise(0)).otherwise(F.least(F.col("n"), F.floor(F.col("n") * p + _unit("gid", "shard", F.lit(step)))))
         both = asked.withColumn("moved", moved.cast("long")).select("gid", F.explode(F.array(F.struct("shard", (F.col("n") - F.col("moved")).alias("n")), F.struct(F.col("to").alias("shard"), F.col("moved").alias("n")))).alias("c"))
         nxt = ws.stage(both.select("gid", "c.*").where("n > 0").groupBy("gid", "shard").agg(F.sum("n").alias("n")), "cells")
         ws.drop(cells, asked)
-        cells = nxt
-    return cells
+        cells, step = nxt, step + 1
 
 
 def _fit(cells: DataFrame, quota: list[int]) -> DataFrame:
@@ -99,7 +113,7 @@ def _fit(cells: DataFrame, quota: list[int]) -> DataFrame:
     return cells.select("gid", "shard", kept.cast("long").alias("n")).where("n > 0")
 
 
-def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: tuple[int, int] = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     ws = Workspace(docs.sparkSession, "sharding")
     text = F.col(text_col)
@@ -119,11 +133,11 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     first = ws.stage(first.withColumn("size", F.sum("n").over(Window.partitionBy("gid"))).withColumn("at", F.min("r").over(Window.partitionBy("gid"))).where("size > 1"), "links")
     # Large groups first, while all others count as movable; then the small ones in the room that is left.
     is_large = F.col("size") > WHOLE * min(quota)
-    large = _propagate(ws, ws.stage(first.where(is_large).select("gid", "shard", "n"), "large"), quota, rounds[0])
+    large = _propagate(ws, ws.stage(first.where(is_large).select("gid", "shard", "n"), "large"), quota, rounds)
     large = ws.stage(_fit(large, quota), "large")
     taken = {r["shard"]: r["n"] for r in large.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
     rest = [q - taken.get(s, 0) for s, q in enumerate(quota)]
-    small = _propagate(ws, ws.stage(first.where(~is_large).select("gid", "shard", "n"), "small"), rest, rounds[1])
+    small = _propagate(ws, ws.stage(first.where(~is_large).select("gid", "shard", "n"), "small"), rest, rounds)
     cells = large.unionAll(_fit(small, rest))
 
     # A group's rows follow each other in the global order: its cells are ranges there, the unplaced rest comes last.

@@ -86,6 +86,21 @@ def test_sharding_keeps_groups_and_splits_hot_ones(spark):
     assert sum(n * n for n in hot.values()) >= 0.2 * 130**2  # links kept; a tenth of them by chance
 
 
+def test_sharding_goes_on_until_the_cut_no_longer_falls(spark):
+    """A group of a third of all rows keeps most of the links that full shards allow; nearly all small ones end whole."""
+    rows = [(i, "hot" if i < 1300 else f"four {i // 4}") for i in range(4000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 40).toPandas()
+    assert set(got.groupby("shard").size()) == {100}
+    text = dict(rows)
+    shards = defaultdict(set)
+    for d, s in zip(got["doc_id"], got["shard"]):
+        shards[text[d]].add(s)
+    whole = sum(len(v) == 1 for k, v in shards.items() if k != "hot")
+    hot = Counter(s for d, s in zip(got["doc_id"], got["shard"]) if d < 1300)
+    assert sum(n * n for n in hot.values()) >= 100_000  # 130,000 in 13 full shards
+    assert whole >= 0.95 * (len(shards) - 1)
+
+
 def brute_components(texts, n=5, percent=80):
     sets = []
     for t in texts:
