@@ -76,7 +76,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     """query_id, rank, vec_id, score of each query's k highest inner products of floor(scale * x)."""
     ws = Workspace(vectors.sparkSession, "topk")
     v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where(finite(F.col("v")) & F.col("id").isNotNull())
+    # The raw vector is judged: floor gives a long, in which nothing non-finite is left to see.
+    good = finite(F.col(vector_col)) & F.col(id_col).isNotNull()
+    rows = vectors.where(good).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     solved = None
     for dim in sorted(r[0] for r in rows.select(F.size("v")).distinct().collect()):  # one length, as a rule
         own = rows.where(F.size("v") == dim)

@@ -75,6 +75,19 @@ def test_top_k_against_brute_force(vectors, monkeypatch):
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_leaves_non_finite_vectors_out(spark):
+    """A query with NaN has no results; candidates with Infinity or NaN take no slot, even in a populated cell."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=4).astype(np.float32)]) for i in range(1, 40)]
+    bad = [(100, [math.nan, 1.0, 1.0, 1.0]), (101, [math.inf, 1.0, 1.0, 1.0]), (102, [1.0, -math.inf, 1.0, 1.0]), (103, [math.nan, 90.0, 90.0, 90.0])]
+    query = (200, [1.0, 1.0, 1.0, 1.0])
+    frame = spark.createDataFrame([*rows, *bad, query], "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 100 == 0, 10).collect()]
+    q = np.full(4, 1024)
+    best = sorted((-int(q @ np.floor(1024 * np.array(v))), i) for i, v in rows)[:10]
+    assert sorted(got) == [(200, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_url_rules(spark):
     urls = {
         "http://a.com/en/x": ("a.com", "/en/x", "com/en/", "block"), "https://www.EXAMPLE.com/en/7?x#y": ("www.example.com", "/en/7", "example.com/en/7", "allow"), "http://example.net/de/85": ("example.net", "/de/85", "example.net/de/8", "block"),
