@@ -2,10 +2,12 @@
 
 Method: bound-certified repacking. Pieces are dealt over partitions and each partition
 packs its own by best-fit decreasing. Dual-feasible functions give a lower bound of the
-partition's bin count, which certifies it or not; bins that have gaps give their
-documents back, and partitions exchange these and run best-fit decreasing again, with
-ever fewer partitions, until one is left. A partition hands on a bounded number of bins,
-so the last rounds stay small however large the input is.
+partition's bin count, which certifies it or not. While the summed count exceeds the
+bound over all pieces and still falls, bins that have gaps give their pieces back, and
+these are dealt anew over blocks of bounded size and repacked: first those of partitions
+without a certificate, then all. Deals by hash, in which unlike pieces meet, take turns
+with deals by gap, in which the emptiest bins of all partitions meet. A block that gains
+nothing keeps its bins, so the count never rises; every bin with a gap takes part.
 
 Tokens: the byte-level BPE file named by `tokenizer`, read by the library for its ranks
 form, which gives the same ids (tests compare them); every document ends with id 0.
@@ -28,13 +30,13 @@ from pyspark.sql import functions as F
 
 from ._common import Workspace, table
 
-#: Pieces that one task packs, and bins with gaps that it may hand on to the next round.
+#: Pieces that one task or block packs.
 PIECES_PER_TASK = 50_000
-RELEASED_BINS = 256
-MERGE = 16
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECE}, sequence_id long, offset long"
+#: The gap of the piece's bin, and whether the bin count of its partition or block meets the bound.
+PACKED = f"{PLACED}, gap long, certified boolean"
 
 
 def _encoder(json_path: str):
@@ -112,14 +114,16 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The greatest bound that two families of dual-feasible functions give for the bin count.
+    """The greatest bound that two families of dual-feasible functions give for the bin count."""
+    return bound_of(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity) if len(lengths) else 0
+
+
+def bound_of(counts: np.ndarray, capacity: int) -> int:
+    """lower_bound() from how many items each length has.
 
     f_t: 1 above capacity - t, 0 below t, else the share itself; u_k: rounds (k + 1) x
     down to k parts unless it is whole.
     """
-    if not len(lengths):
-        return 0
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     sizes = np.arange(capacity + 1)
     best = -(-int((counts * sizes).sum()) // capacity)
     n_upto, sum_upto = np.cumsum(counts), np.cumsum(counts * sizes)
@@ -134,48 +138,84 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _round(capacity: int, round_no: int, last: bool):
+def _packed(part: pd.DataFrame, capacity: int, base: int) -> pd.DataFrame:
+    """The pieces in bins, which count from base; those that lie in no more bins already stay there."""
+    lengths = part["length"].to_numpy(np.int64)
+    bins, offs, fill = best_fit_decreasing(lengths, capacity)
+    bound = lower_bound(lengths, capacity)
+    if "sequence_id" in part and (part["offset"] == 0).sum() <= len(fill):
+        return part.assign(certified=(part["offset"] == 0).sum() == bound)
+    return part.assign(sequence_id=base + bins, offset=offs, gap=capacity - fill[bins], certified=len(fill) == bound)
+
+
+def _first(capacity: int):
     def run(batches):
         from pyspark import TaskContext
 
-        part = pd.concat(list(batches), ignore_index=True) if (batches := list(batches)) else None
-        if part is None or not len(part):
-            return
-        lengths = part["length"].to_numpy(np.int64)
-        bins, offs, fill = best_fit_decreasing(lengths, capacity)
-        gap = capacity - fill
-        if not last:
-            # The emptiest bins go on; with no gap at all, the bound is met and nothing does.
-            worst = np.argsort(-gap, kind="stable")[:RELEASED_BINS]
-            released = worst[gap[worst] > 0] if gap.sum() else worst[:0]
-        else:
-            released = np.empty(0, np.int64)
-        keep = np.ones(len(fill), bool)
-        keep[released] = False
-        base = (round_no << 56) | (TaskContext.get().partitionId() << 28)
-        part["sequence_id"] = pd.array(base + bins, dtype="Int64")
-        part["offset"] = pd.array(offs, dtype="Int64")
-        part.loc[~keep[bins], ["sequence_id", "offset"]] = pd.NA
-        yield part
+        if batches := [b for b in batches if len(b)]:
+            yield _packed(pd.concat(batches, ignore_index=True), capacity, TaskContext.get().partitionId() << 28)
 
     return run
 
 
+def _again(capacity: int, round_no: int):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return _packed(part.drop(columns="block"), capacity, (round_no << 48) | (int(part["block"].iloc[0]) << 28))
+
+    return run
+
+
+def _blocks(bins: DataFrame, by_gap: bool, round_no: int) -> tuple[DataFrame, int]:
+    """Adds to pieces the block of their bin, of about PIECES_PER_TASK pieces; and how many blocks there are."""
+    sizes = {r["gap"]: r["n"] for r in bins.groupBy("gap").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    tie = F.xxhash64("sequence_id", F.lit(round_no))
+    if not by_gap:
+        blocks = max(1, -(-sum(sizes.values()) // PIECES_PER_TASK))
+        return bins.withColumn("block", F.pmod(tie, F.lit(blocks)).cast("long")), blocks
+    # The emptiest bins come first; bins of one gap that are more than a block are dealt over several.
+    deal, block, held = [], 0, 0
+    for gap in sorted(sizes, reverse=True):
+        if held and held + sizes[gap] > PIECES_PER_TASK:
+            block, held = block + 1, 0
+        many = max(1, -(-sizes[gap] // PIECES_PER_TASK))
+        deal.append((gap, block, many))
+        block, held = block + many - 1, held + sizes[gap] if many == 1 else PIECES_PER_TASK
+    spark = bins.sparkSession
+    deal = F.broadcast(spark.createDataFrame(deal, "gap long, first long, many long"))
+    return bins.join(deal, "gap").withColumn("block", F.col("first") + F.pmod(tie, F.col("many"))).drop("first", "many"), block + 1
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     ws = Workspace(docs.sparkSession, "packing")
     todo = ws.stage(tokenize(docs, tokenizer, capacity, id_col, text_col), "pieces")
-    tasks = max(1, -(-todo.count() // PIECES_PER_TASK))
-    done, round_no = None, 0
-    while True:
-        # Placed rows keep their sequence; the others meet those of MERGE partitions in the next round.
-        packed = ws.stage(todo.select(*[c.split()[0] for c in PIECE.split(", ")]).repartition(tasks).mapInPandas(_round(capacity, round_no, tasks == 1), PLACED), f"round{round_no}")
-        placed = packed.where("sequence_id is not null")
-        done = placed if done is None else done.unionAll(placed)
-        if tasks == 1:
-            return done
-        todo = packed.where("sequence_id is null")
-        tasks, round_no = -(-tasks // MERGE), round_no + 1
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in todo.groupBy("length").count().collect():  # at most `capacity` rows
+        counts[r["length"]] = r["count"]
+    bound, tasks = bound_of(counts, capacity), max(1, -(-int(counts.sum()) // PIECES_PER_TASK))
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    packed = ws.stage(todo.repartition(tasks).mapInPandas(_first(capacity), PACKED), "round0")
+
+    def used(df: DataFrame) -> int:
+        return df.where("offset = 0").count()
+
+    done, pool = packed.where("gap = 0"), packed.where("gap > 0")
+    total, round_no, every, idle = used(packed), 0, tasks == 1, 0
+    while total > bound and tasks > 1:
+        # Certified bins are passed over until the others are done; then their gaps count too.
+        open_ = pool if every else pool.where("not certified")
+        round_no += 1
+        dealt, blocks = _blocks(open_, round_no % 2 == 0, round_no)
+        nxt = ws.stage(dealt.groupBy("block").applyInPandas(_again(capacity, round_no), PACKED), f"round{round_no}")
+        fewer = used(open_) - used(nxt)
+        rest = nxt if every else nxt.unionAll(pool.where("certified").select(names))
+        done, pool = done.unionAll(nxt.where("gap = 0")), rest.where("gap > 0")
+        total, idle = total - fewer, 0 if fewer else idle + 1
+        if idle > 1 or idle and blocks == 1:  # neither deal gains any more
+            if every:
+                break
+            every, idle = True, 0
+    return done.unionAll(pool).select([c.split()[0] for c in PLACED.split(", ")])
 
 
 def certificate(packed: DataFrame, capacity: int = 2048) -> tuple[int, int]:

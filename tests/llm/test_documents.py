@@ -42,6 +42,17 @@ def test_packing_exchanges_documents(odd_docs, monkeypatch):
     assert bound <= used <= bound + 1
 
 
+def test_packing_exchanges_all_bins_with_gaps(spark, monkeypatch):
+    """Two lengths that fill a sequence together, dealt unevenly over partitions: the bound is met, though many bins have gaps."""
+    monkeypatch.setattr(packing, "PIECES_PER_TASK", 60)
+    monkeypatch.setattr(packing, "RELEASED_BINS", 1, raising=False)  # of the cap that once was
+    docs = spark.createDataFrame([(i, " a" * (149 if i % 2 else 105)) for i in range(1200)], "doc_id long, text string")
+    got = packing.pack(docs, packing.default_tokenizer(), 256)
+    lengths = {r["length"] for r in got.select("length").distinct().collect()}
+    assert lengths == {150, 106}
+    assert packing.certificate(got, 256) == (600, 600)
+
+
 def test_lower_bound_is_a_bound():
     rng = np.random.default_rng(1)
     for _ in range(30):
