@@ -2,9 +2,11 @@
 
 Method: host word segmentation. Names in the host are split at punctuation, then each
 concatenated name is split into words by unigram Viterbi; multinomial naive Bayes scores
-the words of host and path. The unigram counts are those of the labelled names below plus
-the delimited tokens of all urls given (counted by Spark; the `LEXICON` most frequent
-stay, which bounds the model). Rules win over the scorer: the longest rule that fits.
+the words of host and path. The unigram counts are those of the labelled names below plus,
+with as much weight in all, the delimited tokens of all urls given (counted whole by Spark,
+none left out). A label of a host that nothing divides is no token: that it occurs doesn't
+make it a word. So verdicts follow the tokens' shares, not the number of urls. Rules win
+over the scorer: the longest rule that fits.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and is
 allowed, as is one without any known word; user info and ports stay in the host as
@@ -23,9 +25,6 @@ from pyspark.sql import functions as F
 
 from ._common import table
 
-#: Tokens kept from the urls' own counts.
-LEXICON = 50_000
-
 #: The rules of the query, as (verdict, rule).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -128,12 +127,14 @@ def train(names: Counter) -> dict:
     """Unigram counts, and naive Bayes log odds of block against allow, with add-one smoothing."""
     seeds = {"block": [w for n in BLOCK_NAMES for w in n.split("-")], "allow": [w for n in ALLOW_NAMES for w in n.split("-")]}
     counts: Counter = Counter({w: 50 for ws in seeds.values() for w in ws if len(w) > 1})
-    plain = Segmenter(counts)
+    plain, known = Segmenter(counts), set(counts)
+    # The urls' tokens weigh as much as the labelled names together, however many there are.
+    share = plain.total / (sum(names.values()) or 1)
     for w, c in names.items():
         parts = plain.split(w)
         # A name that known words make up entirely is not a word itself.
-        if len(parts) == 1 or not all(len(x) > 2 and x in counts for x in parts):
-            counts[w] += c
+        if len(parts) == 1 or not all(len(x) > 2 and x in known for x in parts):
+            counts[w] += c * share
     by = {k: Counter(ws) for k, ws in seeds.items()}
     vocab = set(by["block"]) | set(by["allow"])
     odds = {w: math.log((by["block"][w] + 1) / (sum(by["block"].values()) + len(vocab))) - math.log((by["allow"][w] + 1) / (sum(by["allow"].values()) + len(vocab))) for w in vocab}
@@ -155,10 +156,15 @@ def judge(url: str | None, rules: dict, segment: Segmenter, model: dict) -> tupl
 
 
 def url_tokens(pages: DataFrame, url_col: str) -> Counter:
-    """Counts of the delimited tokens of all urls, the LEXICON most frequent."""
-    token = F.explode(F.regexp_extract_all(F.lower(F.col(url_col)), F.lit("([a-z]{2,24})"), 1))
-    rows = pages.select(token.alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(LEXICON).collect()
-    return Counter({r["w"]: r["count"] for r in rows})
+    """Counts of the delimited tokens of all urls, but for labels of hosts that are one token."""
+    url = F.lower(F.col(url_col))
+    host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    divided = F.filter(F.split(host, r"\."), lambda x: ~x.rlike("^[a-z]*$"))
+    rest = F.regexp_replace(url, r"(?s)^.*?://[^/?#]*", "")
+    text = F.concat_ws(" ", divided, rest)
+    token = F.explode(F.regexp_extract_all(text, F.lit("([a-z]{2,})"), 1))
+    rows = pages.where(url.contains("://")).select(token.alias("w")).groupBy("w").count().collect()
+    return Counter({r["w"]: r["count"] for r in sorted(rows)})
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -101,6 +101,18 @@ def test_url_rules(spark):
     assert urlfilter.filter_urls(pages.limit(0), urlfilter.RULES).count() == 0
 
 
+def test_url_verdicts_do_not_depend_on_table_size(spark):
+    """A concatenated name is split in a table of one url as in a large one, and tokens of any length count whole."""
+    url, long = "http://winbigcasino.example.com/a/1", "abcdefghij" * 3
+    few = [url, f"http://x.org/{long}/it"]
+    for urls in (few, few * 500, few + [f"http://{a}{b}host.org/" for a in "abcdefghij" for b in "klmnopqrst"]):
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        got = {r["page_id"]: r["verdict"] for r in urlfilter.filter_urls(pages, []).collect()}
+        assert got[0] == "block" and got[1] == "allow"
+        tokens = urlfilter.url_tokens(pages, "url")
+        assert tokens[long] and "winbigcasino" not in tokens and "akhost" not in tokens
+
+
 def test_segmentation():
     seg = urlfilter.Segmenter(Counter({"cheap": 5, "pills": 5, "pill": 5, "in": 50, "the": 9}))
     assert seg.split("cheappills") == ["cheap", "pills"] and seg.split("qqq") == ["qqq"] and seg.split("") == []
