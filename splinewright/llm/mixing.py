@@ -8,9 +8,11 @@ range-sorted by position.
 
 Which copies are taken: a source takes floor(target / size) whole passes, and for the
 rest the documents that come first by a hash of id and text, as long as they fit; what is
-then left is filled by the largest documents that still fit (`TOPUPS` of them).
+then left is filled by the largest documents that still fit, until none does. The query
+op10_mix takes `TOPUPS` of these, as its SQL says.
 
-Nothing but histograms (per source, and per source and hash bucket) is shuffled.
+Histograms (per source, and per source and hash bucket or size) are shuffled, and hashes of
+documents that could fill what is left.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last; an
 empty table gives an empty result; rows that agree in id and text are taken or left
@@ -69,8 +71,11 @@ def _targets(base: DataFrame, max_repeat: int) -> DataFrame:
     return src.withColumn("rest", F.col("target") - F.col("passes") * F.col("s"))
 
 
-def plan_mix(ws: Workspace, base: DataFrame, max_repeat: int = 3) -> tuple[DataFrame, DataFrame]:
-    """From base(_src, _h, _bucket, _size): what each source takes, and its demand per bucket."""
+def plan_mix(ws: Workspace, base: DataFrame, max_repeat: int = 3, topups: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """From base(_src, _h, _bucket, _size): what each source takes, its demand per bucket, and _fill()'s choice.
+
+    topups: so many of the largest documents that still fit, in place of all.
+    """
     src = ws.stage(_targets(base, max_repeat).select("_src", "rank", "s", "target", "passes", "rest"), "sources")
     hist = base.groupBy("_src", "_bucket").agg(F.sum("_size").alias("bs"))
     w = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,7 +92,9 @@ def plan_mix(ws: Workspace, base: DataFrame, max_repeat: int = 3) -> tuple[DataF
     src = src.withColumn("last_h", F.coalesce("last_h", F.lit(""))).withColumn("last_bucket", F.coalesce("last_bucket", F.lit(-1)))
     src = src.withColumn("left_over", F.col("rest") - F.coalesce("upto", "before", F.lit(0))).drop("before", "upto")
     src = ws.stage(src.withColumn("extra", F.array().cast("array<string>")), "edges")
-    for _ in range(TOPUPS):
+    if topups is None:
+        return src, hist, _fill(ws, base, src)
+    for _ in range(topups):
         # The largest document that still fits, in each source: a partial aggregate of the base table.
         fit = base.join(_small(src), "_src").where(~_chosen() & (F.col("_size") > 0) & (F.col("_size") <= F.col("left_over")))
         best = fit.groupBy("_src").agg(F.max(F.struct("_size", "_h")).alias("best"))
@@ -95,7 +102,50 @@ def plan_mix(ws: Workspace, base: DataFrame, max_repeat: int = 3) -> tuple[DataF
         nxt = nxt.withColumn("extra", F.when(F.col("best").isNull(), F.col("extra")).otherwise(F.concat("extra", F.array("best._h"))))
         nxt = nxt.withColumn("left_over", F.col("left_over") - F.coalesce("best._size", F.lit(0))).drop("best")
         src = ws.stage(nxt, "edges")
-    return src, hist
+    return src, hist, None
+
+
+def _fill(ws: Workspace, base: DataFrame, src: DataFrame) -> DataFrame:
+    """The largest documents that still fit what is left of each source, until none does: extra(_src, _h, ...).
+
+    Rows that agree in id and text count as one document. Each round takes from the counts
+    of sizes all that fit in descending order, up to the first size of which not all fit;
+    of that, as many as do. What is left halves at least.
+    """
+    free = base.join(_small(src.select("_src", "last_bucket", "last_h", "left_over", "extra")), "_src").where(~_chosen() & (F.col("_size") > 0) & (F.col("_size") <= F.col("left_over")))
+    docs = free.groupBy("_src", "_bucket", "_h").agg(F.sum("_size").alias("_unit"))
+    docs = ws.stage(docs, "free")
+    sizes = ws.stage(docs.groupBy("_src", "_unit").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    left = ws.stage(src.select("_src", "left_over"), "left")
+    taken = None
+    while True:
+        down = Window.partitionBy("_src").orderBy(F.desc("_unit")).rowsBetween(Window.unboundedPreceding, 0)
+        fit = sizes.join(_small(left), "_src").where("_unit <= left_over")
+        fit = fit.withColumn("upto", F.sum(F.col("_unit") * F.col("n")).over(down))
+        # The sizes that fit whole, and the first after them.
+        fit = fit.where("upto - _unit * n <= left_over").withColumn("before", F.col("upto") - F.col("_unit") * F.col("n"))
+        over = F.col("upto") > F.col("left_over")
+        some = F.floor((F.col("left_over") - F.col("before")) / F.col("_unit"))
+        fit = fit.withColumn("take", F.when(over, some).otherwise(F.col("n")))
+        fit = fit.withColumn("crossed", F.coalesce(F.sum(F.when(over, 1)).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        fit = ws.stage(fit.where("crossed = 0").select("_src", "_unit", "n", "take", over.alias("over")), "taken")
+        if fit.isEmpty():
+            break
+        part = fit.where("take > 0").select("_src", "_unit", "n", "take")
+        taken = part if taken is None else taken.unionAll(part)
+        spent = fit.groupBy("_src").agg(F.sum(F.col("_unit") * F.col("take")).alias("spent"), F.max("over").alias("more"))
+        # A source of which all sizes fitted is done.
+        left = ws.stage(left.join(spent, "_src").where("more").select("_src", (F.col("left_over") - F.col("spent")).alias("left_over")), "left")
+    if taken is None:
+        return docs.select("_src", "_h").limit(0)
+    # The greatest hashes of a size of which not all are taken: whole buckets from above, then the bucket in which they end.
+    own = docs.join(_small(taken), ["_src", "_unit"])
+    above = Window.partitionBy("_src", "_unit").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = own.groupBy("_src", "_unit", "_bucket").agg(F.count(F.lit(1)).alias("m"))
+    dealt = dealt.withColumn("above", F.coalesce(F.sum("m").over(above), F.lit(0))).drop("m")
+    own = own.join(_small(ws.stage(dealt, "dealt")), ["_src", "_unit", "_bucket"]).where("above < take")
+    nth = F.row_number().over(Window.partitionBy("_src", "_unit", "_bucket").orderBy(F.desc("_h")))
+    return ws.stage(own.withColumn("nth", nth + F.col("above")).where("nth <= take").select("_src", "_h"), "extra")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -108,10 +158,14 @@ def _chosen() -> Column:
     return (F.col("_bucket") < F.col("last_bucket")) | ((F.col("_bucket") == F.col("last_bucket")) & (F.col("_h") <= F.col("last_h"))) | F.array_contains("extra", F.col("_h"))
 
 
-def _decide(rows: DataFrame, src: DataFrame, hist: DataFrame) -> DataFrame:
+def _decide(rows: DataFrame, src: DataFrame, hist: DataFrame, extra: DataFrame | None) -> DataFrame:
     """Adds copies and training positions to rows that have _src, _h, _bucket and _size."""
     rows = rows.join(_small(src), "_src").join(_small(hist), ["_src", "_bucket"])
-    copies = F.col("passes") + F.when(_chosen() & (F.col("_size") > 0), 1).otherwise(0)
+    chosen = _chosen()
+    if extra is not None:
+        rows = rows.join(_small(extra.withColumn("_filled", F.lit(True))), ["_src", "_h"], "left")
+        chosen = chosen | F.coalesce("_filled", F.lit(False))
+    copies = F.col("passes") + F.when(chosen & (F.col("_size") > 0), 1).otherwise(0)
     rows = rows.withColumn("_copies", copies.cast("int"))
     # Demand served before this document within one pass: its bucket's start, plus its place in the bucket's hash range.
     low = F.conv(F.substring("_h", 1, 13), 16, 10).cast("long").bitwiseAND((1 << (52 - BUCKET_BITS)) - 1)
@@ -135,11 +189,11 @@ def _base(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return docs.select(F.col(id_col).alias("doc_id"), _key(F.col(source_col)).alias("_src"), h.alias("_h"), _bucket(h).alias("_bucket"), _words(F.col(text_col)).alias("_size"))
 
 
-def mix_report(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", max_repeat: int = 3) -> DataFrame:
+def mix_report(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", max_repeat: int = 3, topups: int | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, positions; in order of first position."""
     ws = Workspace(docs.sparkSession, "mix")
     base = ws.stage(_base(docs, id_col, text_col, source_col), "base")
-    out = _decide(base, *plan_mix(ws, base, max_repeat))
+    out = _decide(base, *plan_mix(ws, base, max_repeat, topups))
     out = out.select("doc_id", F.col("_size").alias("size"), F.col("s").alias("source_size"), "target", (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"), F.col("_positions").alias("positions"))
     return out.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), "doc_id")
 
@@ -156,7 +210,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
 
 def op10_mix(spark, sf_dir):
-    return mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix_report(table(spark, sf_dir, "documents"), topups=TOPUPS).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 _FIT = """

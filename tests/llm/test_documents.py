@@ -193,6 +193,21 @@ def test_mixing_hits_targets(spark):
         assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 5
 
 
+def test_mixing_fills_until_nothing_fits(spark):
+    """One very long document among short ones: what it leaves is filled by as many others as fit, copies counted as one."""
+    rows = [(i, " ".join(["w"] * (1 + i % 9)), "abc"[i % 3]) for i in range(900)]
+    rows += [(1000 + i, " ".join(["w"] * 900), s) for i, s in enumerate("abc")] + [rows[7]] * 5
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert len(got) == len(rows)
+    for _, part in got.groupby("source_size"):
+        left = part["target"].iloc[0] - part["taken"].sum()
+        assert 0 <= left + 1e-6
+        passes = part["copies"].min()
+        units = part[part["copies"] == passes].groupby("doc_id")["size"].sum()
+        assert not len(units) or (units > left).all()
+    assert (got.groupby("doc_id")["copies"].nunique() == 1).all()
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (20, 21), (12, 30), (5, 5)] + [(100, k) for k in range(101, 160)]
     got = {r["node"]: r["component"] for r in components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long")).collect()}
