@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a fresh local one only where the setting is absent."""
+    """The folder of spark.checkpoint.dir. Where the setting is absent, a fresh one, if all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="splinewright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -97,20 +99,19 @@ def global_rank(df: DataFrame, out: str = "_rank") -> DataFrame:
     return df.join(F.broadcast(starts), "_pid").withColumn(out, F.col("_start") + local).drop("_start")
 
 
-def components(ws: Workspace, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): (node, component), component the smallest node.
 
     Alternates large-star and small-star rounds written as joins against each node's
     smallest neighbour, so no neighbour list is ever gathered in one place; skewed join
-    partitions of a hub can be split because both sides are plain shuffles.
+    partitions of a hub can be split because both sides are plain shuffles. Rounds go on
+    until every node is linked to its component's smallest one, however many that takes.
     """
     cur = ws.stage(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
     )
     size = cur.count()
-    for _ in range(max_rounds):
-        if not size:
-            break
+    while size:
         # large star: every neighbour larger than u links to u's smallest neighbour (or u).
         both = cur.select("u", "v").unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -1,17 +1,20 @@
 """Similarity self-join of documents on word n-grams (Jaccard), by vertical partitioning.
 
-The global n-gram order (rarest first, ties by hash) is cut into fragments. Each fragment
-holds the postings of its own n-grams only and counts how many texts have each; n-grams
-of a single text end there. Texts then know how much of them is shared at all, and
-which of their rarest shared n-grams stand in their prefix: two texts that link have at
-least one in common. Overlaps of candidate pairs are counted fragment by fragment and
-summed per pair, then compared exactly.
-
-Not all pairs of a group are made. Prefix n-grams in common connect texts into clusters,
-within which all links lie. A cluster's most shared text is compared with all others
-first; only texts that then lie in different components are compared further, in blocks
-of which just the links that join components leave. So a group of near copies costs as
-many pairs as it has members, and no link between different texts is lost.
+The global n-gram order (rarest first, ties by fingerprint) is cut into fragments of equal
+load. Every text's n-grams, in that order, are cut at the same places. Candidate pairs are
+counted fragment by fragment, and their partial overlaps are summed per pair and compared
+exactly.
+
+Candidates come from prefixes: two texts that link have an n-gram in common among the
+rarest fifth of each (of the smaller one even among the rarest ninth). Where two texts
+meet first, what each has left in the order bounds their overlap; pairs that can't reach
+the threshold by it, or by their set sizes, are no candidates. N-grams of a single text
+come first in the order, end in the count and only take places.
+
+Not all pairs of a group are made. First every prefix n-gram's texts are compared with the
+one of them that is shared most; what then still lies in different components and meets in
+a prefix n-gram is compared pair by pair. So a group of near copies costs about as many pairs as
+it has members, and no link between different texts is lost.
 
 Texts with equal sets are one class from the start. N-grams that a hundredth of all
 texts or more have (at most 100 times the mean set size of them) skip the counting, so
@@ -40,10 +43,8 @@ from ._common import Workspace, components, table
 FRAGMENT = 1_500_000
 SLICE = 1000  # documents hashed at a time
 HEAVY = 0.01
-SUMS = 4  # parts of a text in which overlaps are counted
-SALTS = 4096
-BLOCK = 256  # texts of a cluster that one task compares with as many others
-PART = 8192  # n-grams whose overlaps a block counts at a time
+PIECE = 20_000  # n-grams of a text in a fragment of the order, about, at most
+BLOCK = 256  # pairs of one text, or texts of one n-gram, that are joined in one place
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -175,7 +176,7 @@ def _unpack(group: pd.DataFrame):
 
 
 def _shared(fragments: int):
-    """Within a fragment: the postings of n-grams that two texts or more have, packed anew by class."""
+    """Within a fragment: the postings of n-grams that two texts or more have, packed anew by class, and how many have each frequency."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sig, size, h = _unpack(group)
@@ -191,7 +192,7 @@ def _shared(fragments: int):
         keep = df > 1
         sig, size, h, df = sig[keep], size[keep], h[keep], df[keep].astype(np.uint8)
         if not len(h):
-            return pd.DataFrame({"bucket": [], "sigs": [], "sizes": [], "hashes": [], "dfs": []})
+            return pd.DataFrame([], columns=["bucket", "sigs", "sizes", "hashes", "dfs", "load"])
         bucket = sig % fragments
         order = np.lexsort((sig, bucket))
         sig, size, h, df, bucket = sig[order], size[order], h[order], df[order], bucket[order]
@@ -199,128 +200,110 @@ def _shared(fragments: int):
         for s, c in zip(*_runs(bucket)):
             o = sig[s : s + c]
             rs, rc = _runs(o)
-            rows.append((int(bucket[s]), o[rs].tobytes(), np.column_stack((size[s : s + c][rs], rc)).astype(np.int32).tobytes(), _shorten(h[s : s + c]), df[s : s + c].tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "sigs", "sizes", "hashes", "dfs"])
+            rows.append((int(bucket[s]), o[rs].tobytes(), np.column_stack((size[s : s + c][rs], rc)).astype(np.int32).tobytes(), _shorten(h[s : s + c]), df[s : s + c].tobytes(), None))
+        rows[0] = (*rows[0][:-1], np.bincount(df, minlength=256).tolist())
+        return pd.DataFrame(rows, columns=["bucket", "sigs", "sizes", "hashes", "dfs", "load"])
 
     return run
 
 
-def _live(percent: int):
-    """Texts of which enough is shared to link at all: their shared n-grams, and those in the prefix."""
+def _cuts(load: np.ndarray, pieces: int) -> np.ndarray:
+    """Places in the order (frequency and, as its fraction, fingerprint) that cut the postings into equal pieces."""
+    upto = np.cumsum(load)
+    if not upto[-1]:
+        return np.full(pieces - 1, 256.0)
+    goals = upto[-1] * np.arange(1, pieces) / pieces
+    df = np.searchsorted(upto, goals, "right")
+    return df + (goals - (upto[df] - load[df])) / np.maximum(load[df], 1)
+
+
+def _live(percent: int, cuts: np.ndarray):
+    """Texts of which enough is shared to link at all: their shared n-grams in order, where fragments begin, how long the prefix is."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sig, size, h = _unpack(group)
         df = np.concatenate([np.frombuffer(x, np.uint8) for x in group["dfs"]])
         order = np.lexsort((h, df, sig))
-        sig, size, h = sig[order], size[order], h[order].view(np.int64)
+        sig, size, h, df = sig[order], size[order], h[order], df[order]
+        place = np.searchsorted(cuts, df + h / 2.0**56, "right")
+        h = h.view(np.int64)
         starts, counts = _runs(sig)
         n = size[starts].astype(np.int64)
         least = -(-percent * n // 100)  # of a text's n-grams, this many lie in any text that it links with
         prefix = counts - least + 1  # the rarest, unshared ones first, that must hold one of them
-        rows = [(int(sig[s]), int(k), int(c), h[s : s + c], h[s : s + p]) for s, c, k, p in zip(starts, counts, n, prefix) if p > 0]
-        return pd.DataFrame(rows, columns=["sig", "n", "s", "grams", "prefix"])
+        edges = np.arange(len(cuts) + 2)
+        rows = [(int(sig[s]), int(k), int(c), int(p), np.searchsorted(place[s : s + c], edges), h[s : s + c]) for s, c, k, p in zip(starts, counts, n, prefix) if p > 0]
+        return pd.DataFrame(rows, columns=["sig", "n", "s", "pre", "at", "grams"])
 
     return run
 
 
-def _verify(ws: Workspace, live: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose overlap, counted in SUMS parts and summed, is large enough."""
-    part = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SUMS - 1)), lambda f: F.struct(f.alias("f"), F.filter("grams", lambda h: F.pmod(h, F.lit(SUMS)) == f).alias("g"))))
-    parts = live.select("sig", "n", part.alias("p")).select("sig", "n", "p.*")
-    # A leader of many texts is copied to as many salts as it needs, never gathered with all of them.
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    left = pairs.join(parts.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "f", F.col("g").alias("gb")), "b")
-    right = pairs.select("a", "salt").distinct().join(parts.select(F.col("sig").alias("a"), F.col("n").alias("na"), "f", F.col("g").alias("ga")), "a")
-    both = left.join(right, ["a", "salt", "f"])
-    sums = both.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("ga", "gb"))).alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return ws.stage(sums.where(F.col("i") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "links")
-
-
 def _near(percent: int):
     """Set sizes that can reach the threshold."""
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
 
-def _block_links(percent: int):
-    """Links between the texts of one block, or of two, that join components; overlaps are summed over parts of the n-gram order."""
-
-    def linked(grams, n, comp, side):
-        h, own = np.concatenate(grams), np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        order = np.lexsort((own, h))
-        h, own = h[order], own[order]
-        starts, counts = _runs(h)
-        column = np.cumsum(np.repeat(counts > 1, counts) & np.isin(np.arange(len(h)), starts)) - 1
-        keep = np.repeat(counts > 1, counts)
-        column, own = column[keep], own[keep]
-        over = np.zeros((len(grams), len(grams)), np.float32)
-        for at in range(0, int(column.max(initial=-1)) + 1, PART):
-            part = (column >= at) & (column < at + PART)
-            held = np.zeros((len(grams), PART), np.float32)
-            held[own[part], column[part] - at] = 1
-            over += held @ held.T
-        good = 100 * over >= percent * (n[:, None] + n[None, :] - over)
-        good &= (comp[:, None] != comp[None, :]) & (np.arange(len(n))[:, None] < np.arange(len(n))[None, :])
-        if side is not None:
-            good &= side[:, None] != side[None, :]
-        return np.nonzero(good)
+def _enough(percent: int):
+    """What is left of both texts from their first common n-gram, at pa and pb, can reach the threshold."""
+    return F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in group.groupby("cluster", sort=False):
-            side = part["side"].to_numpy()
-            a, b = linked(part["grams"].to_list(), part["n"].to_numpy(), part["comp"].to_numpy(), side if side.any() else None)
-            # Of all links, those of a forest are enough: each component once linked to another.
-            comp = np.unique(part["comp"].to_numpy(), return_inverse=True)[1]
-            lab, old = np.arange(comp.max() + 1), None
-            while old is None or (lab != old).any():
-                old = lab.copy()
-                low = np.minimum(lab[comp[a]], lab[comp[b]])
-                np.minimum.at(lab, comp[a], low)
-                np.minimum.at(lab, comp[b], low)
-                lab = lab[lab]
-            names = np.unique(part["comp"].to_numpy())
-            moved = np.flatnonzero(lab != np.arange(len(lab)))
-            out.append(pd.DataFrame({"a": names[moved], "b": names[lab[moved]]}))
-        return pd.concat(out, ignore_index=True)
 
-    return run
+def _crowded(pairs: DataFrame, key: str) -> DataFrame:
+    """Adds salts: in how many places the rows of a key are joined."""
+    salts = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts"))
+    return pairs.join(salts, key)
 
 
-def class_components(ws: Workspace, live: DataFrame, percent: int) -> DataFrame:
+def _verify(ws: Workspace, live: DataFrame, pairs: DataFrame, percent: int, pieces: int) -> DataFrame:
+    """Pairs (a, b) whose overlaps, counted in each fragment and summed, are large enough."""
+    f = F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("f")
+    piece = F.slice("grams", F.get("at", F.col("f")) + 1, F.get("at", F.col("f") + 1) - F.get("at", F.col("f")))
+    parts = live.select("sig", "n", "at", "grams", f).select("sig", "n", "f", piece.alias("g")).where(F.size("g") > 0)
+    # A text of many pairs is copied to as many salts as it needs, never gathered with all of them.
+    pairs = _crowded(pairs.select("a", "b"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
+    left = pairs.join(parts.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "f", F.col("g").alias("gb")), "b")
+    right = pairs.select("a", "salt").distinct().join(parts.select(F.col("sig").alias("a"), F.col("n").alias("na"), "f", F.col("g").alias("ga")), "a")
+    both = left.join(right, ["a", "salt", "f"])
+    sums = both.groupBy("a", "b").agg(F.sum(F.size(F.array_intersect("ga", "gb")).cast("long")).alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return ws.stage(sums.where(F.col("i") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"), "links")
+
+
+def class_components(ws: Workspace, live: DataFrame, percent: int, pieces: int) -> DataFrame:
     """(sig, comp): components of linked classes, for the classes that may link."""
-    posts = live.select("sig", F.explode("prefix").alias("h"))
-    # Clusters: texts connected by prefix n-grams in common. All links lie within them.
-    heads = posts.groupBy("h").agg(F.min("sig").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "a")
-    near = posts.join(heads, "h").where("sig <> a").select("a", F.col("sig").alias("b")).distinct()
-    cluster = ws.stage(components(ws, near).select(F.col("node").alias("sig"), F.col("component").alias("cluster")), "clusters")
-    texts = ws.stage(live.select("sig", "n", "s", "grams").join(cluster, "sig"), "texts")
-    # The text of a cluster with the largest shared part is compared with all others.
-    lead = texts.groupBy("cluster").agg(F.max(F.struct(F.col("s") / F.col("n"), "n", "sig")).alias("lead")).select("cluster", F.col("lead.sig").alias("a"), F.col("lead.n").alias("na"))
-    pairs = texts.select("cluster", F.col("sig").alias("b"), F.col("n").alias("nb")).join(lead, "cluster").where("a <> b").where(_near(percent))
-    pairs = ws.stage(pairs.select("a", "b"), "pairs")
-    links = _verify(ws, texts, pairs, percent)
-    comp = components(ws, links).select(F.col("node").alias("sig"), F.col("component").alias("comp"))
-    known = ws.stage(cluster.join(comp, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "known")
-    # Clusters that hold several components go on in blocks. A large component has blocks
-    # of its own, which needn't meet each other; small ones share blocks.
-    parts = known.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("m"))
-    parts = parts.withColumn("kind", F.when(F.col("m") > BLOCK // 4, F.col("comp")))
-    kinds = parts.groupBy("cluster", "kind").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("k"))
-    open_ = kinds.groupBy("cluster").agg(F.sum("k").alias("k"), F.sum("m").alias("size"), F.collect_list(F.struct("kind", F.ceil(F.col("m") / BLOCK).cast("int").alias("subs"))).alias("kinds")).where("k > 1")
-    block = F.flatten(F.transform("kinds", lambda x: F.transform(F.sequence(F.lit(0), x["subs"] - 1), lambda i: F.struct(x["kind"].alias("kind"), i.alias("sub"), x["subs"].alias("subs")))))
-    open_ = ws.stage(open_.select("cluster", "size", F.when(F.col("size") > BLOCK, block).alias("blocks")), "open")
-    member = known.join(parts.select("cluster", "comp", "kind"), ["cluster", "comp"]).join(open_, "cluster")
-    small = member.where("size <= %d" % BLOCK).select("sig", "comp", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(SALTS)).alias("key"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(False).alias("side"))
-    large = member.where("size > %d" % BLOCK)
-    at = F.transform("blocks", lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    mine = F.filter(at, lambda x: x["x"]["kind"].eqNullSafe(F.col("kind")) & (F.pmod(F.xxhash64("sig"), x["x"]["subs"]) == x["x"]["sub"]))
-    large = large.withColumn("mine", F.get(mine, F.lit(0))).withColumn("other", F.explode(at))
-    meet = F.col("kind").isNull() | ~F.col("kind").eqNullSafe(F.col("other.x.kind"))
-    i, j = F.least("mine.i", "other.i"), F.greatest("mine.i", "other.i")
-    large = large.where(meet).select("sig", "comp", "cluster", F.col("cluster").alias("key"), i.alias("i"), j.alias("j"), (F.col("mine.i") > F.col("other.i")).alias("side"))
-    blocks = small.unionAll(large).join(texts.select("sig", "n", "grams"), "sig")
-    more = ws.stage(blocks.groupBy("key", "i", "j").applyInPandas(_block_links(percent), "a long, b long"), "more")
-    return components(ws, links.unionAll(more)).select(F.col("node").alias("sig"), F.col("component").alias("comp"))
+    posts = live.select("sig", "n", "s", F.posexplode(F.slice("grams", 1, F.col("pre"))).alias("p", "h"))
+    posts = posts.select("h", "sig", "n", "s", (F.col("n") - F.col("s") + F.col("p")).alias("p"))
+    # Of an n-gram's texts the one that is shared most is compared with all others.
+    lead = F.max(F.struct(F.col("s") / F.col("n"), "n", "sig", "p")).alias("lead")
+    heads = posts.groupBy("h").agg(lead, F.count(F.lit(1)).alias("m")).where("m > 1").select("h", "lead")
+    posts = ws.stage(posts.drop("s").join(heads, "h").select("h", "sig", "n", "p", F.col("lead.sig").alias("a"), F.col("lead.n").alias("na"), F.col("lead.p").alias("pa")), "posts")
+    pairs = posts.select("a", "na", "pa", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb")).where("a <> b").where(_near(percent) & _enough(percent))
+    pairs = ws.stage(pairs.select("a", "b").distinct(), "pairs")
+    links = _verify(ws, live, pairs, percent, pieces)
+    comp = ws.stage(components(ws, links).select(F.col("node").alias("sig"), F.col("component").alias("comp")), "comp")
+    # What meets in a prefix n-gram and lies in different components goes on. Of two texts that
+    # link, the smaller one has the n-gram among the first that even an equal text must share.
+    known = posts.select("h", "sig", "n", "p").join(comp, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    early = (F.col("n") - F.col("p")) * (100 + percent) >= F.col("n") * (2 * percent)
+    known = known.withColumn("early", early)
+    open_ = known.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.col("early").cast("int")).alias("m"))
+    open_ = open_.where("x <> y and m > 0").select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("salts"))
+    known = known.join(open_, "h")
+    small = known.where("early").select("h", F.pmod(F.xxhash64("sig"), F.col("salts")).cast("int").alias("salt"), F.col("sig").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("comp").alias("ca"))
+    large = known.select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("comp").alias("cb"))
+    rest = small.join(large, ["h", "salt"]).where("ca <> cb and na <= nb").where(_near(percent) & _enough(percent))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = ws.stage(rest.join(done, ["a", "b"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return comp
+    more = _verify(ws, live, rest, percent, pieces)
+    # Components are joined, not their texts again.
+    name = lambda side: comp.select(F.col("sig").alias(side), F.col("comp").alias("c" + side))
+    ties = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    tied = ws.stage(components(ws, ties).select(F.col("node").alias("old"), F.col("component").alias("new")), "tied")
+    moved = comp.join(tied, comp["comp"] == tied["old"], "left").select("sig", F.coalesce("new", "comp").alias("comp"))
+    alone = tied.join(comp, comp["sig"] == tied["old"], "left_anti").select(F.col("old").alias("sig"), F.col("new").alias("comp"))
+    return moved.unionAll(alone)
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,30 +311,42 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     spark = docs.sparkSession
     ws = Workspace(spark, "ngrams")
     found = ws.stage(classes(docs, n, id_col, text_col), "classes")
-    facts = found.agg(F.sum("n_shingles").alias("g"), F.count("sig").alias("d")).first()
+    facts = found.agg(F.sum("n_shingles").alias("g"), F.count("sig").alias("d"), F.max("n_shingles").alias("longest")).first()
     fragments = max(12, -(-(facts["g"] or 0) // FRAGMENT))
     often = found.where("often is not null").select(F.explode("often").alias("o")).groupBy("o.h").agg(F.sum("o.c").alias("c"))
     # At most (mean set size / HEAVY) n-grams can be this frequent.
     heavy = np.sort(np.array([r["h"] for r in often.where(F.col("c") >= max(64, HEAVY * facts["d"])).collect()], np.int64).view(np.uint64))
     packed = _postings(docs, n, id_col, text_col, fragments, heavy)
-    shared = packed.repartition(2 * fragments, "fragment").groupBy("fragment").applyInPandas(_shared(fragments), "bucket int, sigs binary, sizes binary, hashes binary, dfs binary")
-    live = shared.repartition(fragments, "bucket").groupBy("bucket").applyInPandas(_live(percent), "sig long, n long, s long, grams array<long>, prefix array<long>")
+    shared = packed.repartition(2 * fragments, "fragment").groupBy("fragment").applyInPandas(_shared(fragments), "bucket int, sigs binary, sizes binary, hashes binary, dfs binary, load array<long>")
+    shared = ws.stage(shared, "shared")
+    del packed
+    ws.release()
+    load = np.zeros(256)
+    for r in shared.select(F.posexplode("load").alias("df", "c")).groupBy("df").agg(F.sum("c").alias("c")).collect():  # 256 numbers
+        load[r["df"]] = r["c"]
+    pieces = max(4, -(-(facts["longest"] or 0) // PIECE))
+    cuts = _cuts(load, pieces)
+    live = shared.drop("load").repartition(fragments, "bucket").groupBy("bucket").applyInPandas(_live(percent, cuts), "sig long, n long, s long, pre int, at array<int>, grams array<long>")
     live = ws.stage(live, "live")
-    del packed, shared
+    ws.drop(shared)
     ws.release()
-    comp = class_components(ws, live, percent)
+    comp = class_components(ws, live, percent, pieces)
     named = found.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("m"))
     named = named.join(comp, "sig", "left")
     least = named.where("comp is not null").groupBy("comp").agg(F.min("class_id").alias("least"))
     # Only classes of several texts, or with links, differ from their own rows.
     named = named.where("m > 1 or comp is not null").join(least, "comp", "left")
     named = ws.stage(named.select("sig", "class_id", F.coalesce("least", "class_id").alias("component_id")), "named")
+    ws.drop(live)
     out = found.select("doc_id", "n_shingles", "sig").join(named, "sig", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that name their component, all columns kept. Rows without an id stay."""
+    """The documents that name their component, all columns kept.
+
+    An id names one text: of rows with one id one stays. Rows without an id all stay.
+    """
     kept = ngram_components(docs, n, percent, id_col, text_col).where("doc_id = component_id")
     ids = kept.select(F.col("doc_id").alias(id_col)).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(ids, id_col, "left_semi")
@@ -365,5 +360,19 @@ def op6_ngram_join(spark, sf_dir):
     return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents)
+, s AS (SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w)
+, p AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s)
+, o AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i
+    FROM p a JOIN p b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2)
+, l AS (SELECT a, b FROM o WHERE 100 * i >= 80 * (na + nb - i))
+, e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l)
+, r(node, seen) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a)
+, c AS (SELECT node, min(seen) AS component FROM r GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(c.component, s.doc_id) AS component_id FROM s LEFT JOIN c ON c.node = s.doc_id
+"""
+
 QUERIES = {"op6_ngram_join": op6_ngram_join}
-ORACLES = {}
+ORACLES = {"op6_ngram_join": ORACLE}
