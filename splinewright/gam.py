@@ -112,10 +112,12 @@ class GAM:
             if setup.p > self.n_:
                 raise ValueError(f"The model has {setup.p} coefficients and only {self.n_} observations")
             engine = self._engine(rows, setup, self.n_)
-            self._optimise(engine)
-            self._finish(rows, engine)
-            if isinstance(engine, SparkEngine):
-                engine.df.unpersist()
+            try:
+                self._optimise(engine)
+                self._finish(rows, engine)
+            finally:
+                if isinstance(engine, SparkEngine):
+                    engine.df.unpersist()
         finally:
             rows.unpersist()
         self._data, self._offset = data, offset
@@ -148,6 +150,7 @@ class GAM:
     def _optimise(self, engine) -> None:
         setup, fam = self.setup_, self.family_
         g, rhs, diag = engine.start()
+        self._xx = g
         d = self._coordinates()
         if fam.family_name == "gaussian" and fam.link.name == "identity":
             engine = GramEngine(engine, setup.p, self._y_square(engine), self.n_, (g, rhs, diag))

@@ -9,6 +9,10 @@ import numpy as np
 from ..functions import special as sp
 
 
+#: p-values below this are not taken from a numerical inversion.
+TAIL = 1e-7
+
+
 @dataclass
 class Summary:
     """Tables as lists of rows; p_table_df and s_table_df make DataFrames of them."""
@@ -64,8 +68,9 @@ def stars(p: float) -> str:
 def wood_test(beta: np.ndarray, r: np.ndarray, v: np.ndarray, rank: float, res_df: float | None) -> tuple[float, float, float]:
     """Wald-type test of a smooth's values with a pseudo-inverse of fractional rank (Wood 2013).
 
-    r: R factor of the smooth's columns. The fractional part of the rank mixes two
-    directions; statistics with either sign of the mixing term give p-values that are averaged.
+    r: upper triangular R factor of the smooth's columns. The fractional part of the rank
+    mixes two directions, whose signs are told by R's first row; the statistic has the
+    mixing term as it is, and p-values are averaged over either sign of it.
     Returns the statistic, its reference degrees of freedom and the p-value.
     """
     fit = r @ beta
@@ -102,12 +107,13 @@ def wood_test(beta: np.ndarray, r: np.ndarray, v: np.ndarray, rank: float, res_d
     for s in stats:
         if res_df is None:
             ps.append(sp.chi2_mixture_sf(s, weights))
-        else:  # sum w chi2 > s chi2(res_df) / res_df
-            both = np.append(weights, -s / res_df)
-            p, fault = sp.weighted_chi2_sf(0.0, both, np.append(np.ones(len(weights)), res_df))
-            ps.append(p if not fault and p > 1e-4 else sp.f_sf(s / rank, rank, res_df))
-    stat = float(np.mean(stats))
-    return (stat if res_df is None else stat / rank), rank, float(min(1.0, np.mean(ps)))
+        else:  # sum w chi2 > s chi2(whole) / whole
+            whole = max(1, round(res_df))
+            both = np.append(weights, -s / whole)
+            p, fault = sp.weighted_chi2_sf(0.0, both, np.append(np.ones(len(weights)), whole), tol=TAIL / 100)
+            # Below TAIL the numerical inversion has no digits left; the F tail has.
+            ps.append(p if not fault and TAIL < p <= 1 else sp.f_sf(s / rank, rank, res_df))
+    return (stats[0] if res_df is None else stats[0] / rank), rank, float(min(1.0, np.mean(ps)))
 
 
 def summarise(model) -> Summary:
@@ -122,9 +128,10 @@ def summarise(model) -> Summary:
     smooth = []
     for i, term in enumerate(setup.terms):
         at = setup.term_slice(i)
-        gram = model._xwx[at, at]
+        # The test is one of values at the rows as they are, whatever their weights.
+        gram = model._xx[at, at]
         val, vec = np.linalg.eigh((gram + gram.T) / 2)
-        r = (vec * np.sqrt(np.maximum(val, 0))).T
+        r = np.linalg.qr((vec * np.sqrt(np.maximum(val, 0))).T, mode="r")
         rank = float(min(model.edf1_[i], term.size))
         stat, ref, p = wood_test(model.coefficients_[at], r, model.Vp_[at, at], rank, None if fam.scale_known else max(rdf, 1e-6))
         smooth.append((term.label, float(model.edf_[i]), float(ref), float(stat), float(p)))

@@ -41,6 +41,38 @@ def test_hard_gates(df, family, smooth):
     assert all(0 <= p <= 1 or np.isnan(p) for *_, p in m.summary(show=False).smooth)
 
 
+@pytest.mark.parametrize("family,weights", [("gaussian", None), ("gaussian", "w"), ("poisson", None), ("poisson", "w"), ("binomial", None), ("gamma", "w")])
+@pytest.mark.parametrize("local", [True, False])
+def test_smooth_test_against_dense_columns(df, family, weights, local):
+    """Wood's statistic from a QR of the rows' unweighted columns, its p-value by simulation of the mixture."""
+    m = GAM(f"{family} ~ s(x1, k=8, bs='cr') + s(x2, k=6, bs='tp')", family=family, local=local).fit(df, weights=weights)
+    pdf, rng = data(), np.random.default_rng(2)
+    x = m.setup_.eval({c: pdf[c].to_numpy() for c in ("x1", "x2", "fac")})
+    rdf = m.n_ - m.edf_total_
+    for i, (_, _, ref, stat, p) in enumerate(m.summary(show=False).smooth):
+        at = m.setup_.term_slice(i)
+        r = np.linalg.qr(x[:, at])[1]
+        val, vec = np.linalg.eigh(r @ m.Vp_[at, at] @ r.T)
+        val, vec = val[::-1], vec[:, ::-1] * np.sign(vec[0, ::-1])
+        rank = min(m.edf1_[i], vec.shape[1])
+        k, nu = int(rank), rank - int(rank)
+        z = (vec.T @ r @ m.coefficients_[at]) / np.sqrt(np.maximum(val, 1e-300))
+        pinv = np.zeros((len(z), len(z)))
+        pinv[range(k), range(k)] = 1
+        pinv[k - 1 : k + 1, k - 1 : k + 1] = [[1, np.sqrt(nu * (1 - nu) / 2)], [np.sqrt(nu * (1 - nu) / 2), nu]]
+        flip = np.ones(len(z))
+        flip[k - 1] = -1
+        d, d1 = z @ pinv @ z, (z * flip) @ pinv @ (z * flip)
+        known = family in ("poisson", "binomial")
+        np.testing.assert_allclose(stat, d if known else d / rank, rtol=1e-6)
+        np.testing.assert_allclose(ref, rank, rtol=1e-9)
+        weight = np.ones(k + 1)
+        weight[k - 1], weight[k] = np.linalg.eigvalsh([[1, np.sqrt(nu * (1 - nu) / 2)], [np.sqrt(nu * (1 - nu) / 2), nu]])[::-1]
+        draws = rng.chisquare(1, (200_000, k + 1)) @ weight
+        scale = 1 if known else rng.chisquare(round(rdf), 200_000) / round(rdf)
+        np.testing.assert_allclose(p, ((draws > d * scale).mean() + (draws > d1 * scale).mean()) / 2, atol=0.005)
+
+
 def dense(m, pdf, family):
     """The same penalised fit by plain numpy on all rows."""
     x = m.setup_.eval({c: pdf[c].to_numpy() for c in ("x1", "x2", "fac")})
