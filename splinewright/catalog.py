@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.families import get_family
+from .functions.families import Gamma, get_family
 from .functions.links import LINKS
 from .gam import GAM
-from .operators.basis import make_basis, polynomial_powers, thin_plate_kernel
+from .operators.basis import make_basis, polynomial_powers, polynomials, row_tensor, thin_plate_kernel
 from .operators.passes import Facts, fold, knots
 from .plans.formula import SmoothSpec
 from .plans.setup import factor_levels, quality
@@ -184,6 +184,12 @@ def _evaluated(df: DataFrame, keys: list[str], xs: list[str], make, names: list[
     return df.select(*keys, *xs).mapInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{n} double" for n in names]))
 
 
+def _set_up(df: DataFrame, x: str, bs: str, k: int):
+    basis = make_basis(SmoothSpec("s", (x,), bs, k))
+    basis.setup(Facts(df.select(x), [x]))
+    return basis
+
+
 _CR3 = """WITH t AS (SELECT quantile_cont(x, 0.0) AS k0, quantile_cont(x, 0.5) AS k1, quantile_cont(x, 1.0) AS k2 FROM (SELECT DISTINCT l_quantity AS x FROM lineitem))
 , h AS (SELECT *, k1 - k0 AS h0, k2 - k1 AS h1, (k2 - k0) / 3 AS b FROM t)
 , x AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, h.*, CASE WHEN l_quantity > k1 THEN 1 ELSE 0 END AS j FROM lineitem, h)
@@ -196,16 +202,15 @@ SELECT l_orderkey, l_linenumber, round(CASE j WHEN 0 THEN (k1 - x) / h0 ELSE 0 E
 @query("basis_cr_k3", _CR3)
 def basis_cr(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem")
-    basis = make_basis(SmoothSpec("s", ("l_quantity",), "cr", 3))
-    basis.setup(Facts(df.select("l_quantity"), ["l_quantity"]))
+    basis = _set_up(df, "l_quantity", "cr", 3)
     return rounded(_evaluated(df, KEY, ["l_quantity"], basis.eval, ["b0", "b1", "b2"]))
 
 
 @query("cyclic_wrap", f"SELECT l_orderkey, l_linenumber, {r('CASE WHEN l_quantity > 30 THEN 10 + (l_quantity - 10) % 20 WHEN l_quantity < 10 THEN 30 - (30 - l_quantity) % 20 ELSE l_quantity END')} AS wrapped FROM lineitem")
 def cyclic_wrap(spark, sf_dir):
-    x = F.col("l_quantity")
-    wrapped = F.when((x > 30) | (x < 10), 10 + F.pmod(x - 10, F.lit(20.0))).otherwise(x)
-    return rounded(table(spark, sf_dir, "lineitem").select(*KEY, wrapped.alias("wrapped")))
+    df = table(spark, sf_dir, "lineitem")
+    basis = _set_up(df.where("l_quantity BETWEEN 10 AND 30"), "l_quantity", "cc", 3)
+    return rounded(_evaluated(df, KEY, ["l_quantity"], lambda c: basis.wrap(c["l_quantity"])[:, None], ["wrapped"]))
 
 
 @query("basis_tp_kernel", f"""SELECT l_orderkey, l_linenumber, {r('pow(abs(l_quantity - 25) / 10, 3) / 12')} AS eta1,
@@ -221,25 +226,17 @@ def tp_kernel(spark, sf_dir):
 @query("basis_tp_polynomials", f"SELECT l_orderkey, l_linenumber, 1.0::DOUBLE AS t0, {r('x')} AS t1, {r('y')} AS t2, {r('x * x')} AS t3, {r('x * y')} AS t4, {r('y * y')} AS t5 FROM (SELECT *, l_quantity / 10 AS x, l_discount AS y FROM lineitem)")
 def tp_polynomials(spark, sf_dir):
     powers = polynomial_powers(2, 3)
-    x, y = F.col("l_quantity") / 10, F.col("l_discount")
-    one = F.lit(1.0)
-
-    def power(c, k):
-        out = one
-        for _ in range(k):
-            out = out * c
-        return out
-
-    return rounded(table(spark, sf_dir, "lineitem").select(*KEY, *[(power(x, a) * power(y, b)).alias(f"t{i}") for i, (a, b) in enumerate(powers)]))
+    make = lambda c: polynomials(np.column_stack((c["l_quantity"] / 10, c["l_discount"])), powers)
+    return rounded(_evaluated(table(spark, sf_dir, "lineitem"), KEY, ["l_quantity", "l_discount"], make, [f"t{i}" for i in range(6)]))
 
 
 @query("row_tensor", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"{r(f'{a} * {b}')} AS t{3 * i + j}" for i, a in enumerate(("1", "x", "x * x")) for j, b in enumerate(("1", "y", "y * y"))) + " FROM (SELECT *, l_quantity / 10 AS x, l_discount * 10 AS y FROM lineitem)")
 def row_tensor_query(spark, sf_dir):
-    x, y = F.col("l_quantity") / 10, F.col("l_discount") * 10
-    one = F.lit(1.0)
-    product = F.flatten(F.transform(F.array(one, x, x * x), lambda a: F.transform(F.array(one, y, y * y), lambda b: a * b)))
-    df = table(spark, sf_dir, "lineitem").select(*KEY, product.alias("t"))
-    return rounded(df.select(*KEY, *[F.get("t", F.lit(i)).alias(f"t{i}") for i in range(9)]))
+    def make(c):
+        a, b = (np.column_stack((np.ones(len(x)), x, x * x)) for x in (c["l_quantity"] / 10, c["l_discount"] * 10))
+        return row_tensor(a, b)
+
+    return rounded(_evaluated(table(spark, sf_dir, "lineitem"), KEY, ["l_quantity", "l_discount"], make, [f"t{i}" for i in range(9)]))
 
 
 @query("poly_terms_te", None)
@@ -327,11 +324,11 @@ def predict_ols(spark, sf_dir):
     return out.select(*KEY, (F.round("fit", 4) + 0.0).alias("fit"), (F.round("se_fit", 5) + 0.0).alias("se_fit"))
 
 
-def _irls_sql(mu: str, weight: str, y: str, start: str) -> str:
+def _irls_sql(mu: str, weight: str, y: str, start: str, pull: str = "y - m", more: str = "1 AS one") -> str:
     """Newton steps for two coefficients in a recursive CTE."""
-    return f"""WITH RECURSIVE d AS (SELECT CAST({y} AS DOUBLE) AS y, l_quantity / 10 AS x FROM lineitem)
+    return f"""WITH RECURSIVE d AS (SELECT CAST({y} AS DOUBLE) AS y, l_quantity / 10 AS x, {more} FROM lineitem)
 , f(k, a, b) AS (SELECT 0, {start}, CAST(0 AS DOUBLE) UNION ALL SELECT k + 1, s.a + (s.h11 * s.g0 - s.h01 * s.g1) / (s.h00 * s.h11 - s.h01 * s.h01), s.b + (s.h00 * s.g1 - s.h01 * s.g0) / (s.h00 * s.h11 - s.h01 * s.h01) FROM (
-  SELECT k, a, b, sum(y - m) AS g0, sum((y - m) * x) AS g1, sum(v) AS h00, sum(v * x) AS h01, sum(v * x * x) AS h11 FROM (SELECT k, a, b, x, y, {mu} AS m, {weight} AS v FROM f, d WHERE k < 20) GROUP BY k, a, b) s)
+  SELECT k, a, b, sum({pull}) AS g0, sum(({pull}) * x) AS g1, sum(v) AS h00, sum(v * x) AS h01, sum(v * x * x) AS h11 FROM (SELECT k, a, b, d.*, {mu} AS m, {weight} AS v FROM f, d WHERE k < 20) GROUP BY k, a, b) s)
 SELECT unnest(['(Intercept)', 'x']) AS term, unnest([round(a, 5) + 0.0, round(b, 5) + 0.0]) AS estimate FROM f WHERE k = 20"""
 
 
@@ -351,6 +348,176 @@ def pirls_poisson(spark, sf_dir):
     return rounded(GAM("y ~ x", family="poisson").fit(df).coefficients_df(spark).select("term", "estimate"), 5)
 
 
+@query("pirls_gamma_2", _irls_sql("exp(a + b * x)", "1", "l_extendedprice / 1000", "CAST(3 AS DOUBLE)", "(y - m) / m"))
+def pirls_gamma(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_quantity") / 10).alias("x"))
+    return rounded(GAM("y ~ x", family=Gamma(link="log")).fit(df).coefficients_df(spark).select("term", "estimate"), 5)
+
+
+_WEIGHTED = _irls_sql("exp(a + b * x + l_tax)", "(1 + l_discount) * exp(a + b * x + l_tax)", "l_linenumber", "CAST(1 AS DOUBLE)", "(1 + l_discount) * (y - m)", "l_tax, l_discount")
+
+
+def _weighted_poisson(spark, sf_dir, **kw):
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("y"), (F.col("l_quantity") / 10).alias("x"), (1 + F.col("l_discount")).alias("w"), "l_tax")
+    return rounded(GAM("y ~ x", family="poisson", **kw).fit(df, weights="w", offset="l_tax").coefficients_df(spark).select("term", "estimate"), 5)
+
+
+@query("pirls_poisson_weighted_2", _WEIGHTED)
+def pirls_weighted(spark, sf_dir):
+    return _weighted_poisson(spark, sf_dir)
+
+
+@query("pirls_poisson_weighted_2_jobs", _WEIGHTED)
+def pirls_weighted_jobs(spark, sf_dir):
+    return _weighted_poisson(spark, sf_dir, local=False)
+
+
+@query("ols_2_jobs", ORACLES["ols_2"])
+def ols_2_jobs(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("y"), "l_quantity")
+    return rounded(GAM("y ~ l_quantity", local=False).fit(df).coefficients_df(spark).select("term", "estimate"), 5)
+
+
+@query("statistics_poisson_2", _irls_sql("exp(a + b * x)", "exp(a + b * x)", "l_linenumber", "CAST(1 AS DOUBLE)").split("SELECT unnest")[0] + """SELECT count(*) AS n, round(2 * sum(y * ln(y / m) - (y - m)) / count(*), 5) + 0.0 AS deviance,
+ round(2 * sum(y * ln(y / my)) / count(*), 5) + 0.0 AS null_deviance, round(1 - sum(y * ln(y / m) - (y - m)) / sum(y * ln(y / my)), 6) + 0.0 AS deviance_explained FROM (SELECT y, exp(a + b * x) AS m, avg(y) OVER () AS my FROM f, d WHERE k = 20)""")
+def statistics_poisson(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("y"), (F.col("l_quantity") / 10).alias("x"))
+    m = GAM("y ~ x", family="poisson").fit(df)
+    row = (m.n_, round(m.deviance_ / m.n_, 5), round(m.null_deviance_ / m.n_, 5), round(m.deviance_explained_, 6))
+    return spark.createDataFrame([row], "n long, deviance double, null_deviance double, deviance_explained double")
+
+
+# Smooths of three knots: all algebra has a closed form ----------------------
+
+_EQUAL3 = """WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 40 OR l_quantity < 10 THEN 10 + ((l_quantity - 10) % 30 + 30) % 30 ELSE l_quantity END AS x FROM lineitem)
+, j AS (SELECT *, CASE WHEN x <= 20 THEN 0 WHEN x <= 30 THEN 1 ELSE 2 END AS j, x - CASE WHEN x <= 20 THEN 10 WHEN x <= 30 THEN 20 ELSE 30 END AS up FROM c)
+, g AS (SELECT *, (j + 1) % 3 AS nxt, (up * up * up / 10 - 10 * up) / 6 AS cu, ((10 - up) * (10 - up) * (10 - up) / 10 - 10 * (10 - up)) / 6 AS cd FROM j)
+SELECT l_orderkey, l_linenumber, """ + ", ".join(r(f"CASE j WHEN {i} THEN (10 - up) / 10 ELSE 0 END + CASE nxt WHEN {i} THEN up / 10 ELSE 0 END + cd * (2 - CASE j WHEN {i} THEN 6 ELSE 0 END) / 100 + cu * (2 - CASE nxt WHEN {i} THEN 6 ELSE 0 END) / 100") + f" AS b{i}" for i in range(3)) + " FROM g"
+
+
+@query("basis_cc_k4", _EQUAL3)
+def basis_cc(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    basis = _set_up(df.where("l_quantity BETWEEN 10 AND 40"), "l_quantity", "cc", 4)
+    return rounded(_evaluated(df, KEY, ["l_quantity"], basis.eval, ["b0", "b1", "b2"]))
+
+
+#: Rows with the basis b, its sums, the reflection v that takes the mean out, the centred columns u, a response y of known shape.
+_K3 = _CR3.split("\nSELECT l_orderkey, l_linenumber, round(CASE")[0].replace("SELECT l_orderkey, l_linenumber, l_quantity AS x, h.*", "SELECT lineitem.*, l_quantity AS x, h.*") + """
+, b AS (SELECT *, CASE j WHEN 0 THEN (k1 - x) / h0 ELSE 0 END + g / h0 / b AS b0, CASE j WHEN 0 THEN (x - k0) / h0 ELSE (k2 - x) / h1 END - g * (1 / h0 + 1 / h1) / b AS b1, CASE j WHEN 0 THEN 0 ELSE (x - k1) / h1 END + g / h1 / b AS b2,
+  sin(2 * pi() * l_quantity / 50) + 0.5 * (l_discount * 10) + ((l_orderkey * 7919 + l_linenumber * 104729) % 1000) / 1000.0::DOUBLE + 0.0005 - 0.5 AS y FROM c)
+, m AS (SELECT count(*) AS n, sum(b0) AS c0, sum(b1) AS c1, sum(b2) AS c2, max(abs(b0) + abs(b1) + abs(b2)) AS norm, sqrt(sum(b0 * b0) / count(*)) AS rms0, any_value(1 / h0) AS d0, any_value(-1 / h0 - 1 / h1) AS d1, any_value(1 / h1) AS d2, any_value(b) AS bb, avg(y) AS my FROM b)
+, v AS (SELECT *, c0 + sqrt(c0 * c0 + c1 * c1 + c2 * c2) AS v0 FROM m)
+, w AS (SELECT *, 2 / (v0 * v0 + c1 * c1 + c2 * c2) AS tau, norm * norm / (greatest(d0, -d1, d2) * (d0 - d1 + d2) / bb) / bb AS f FROM v)
+, e AS (SELECT *, d1 - tau * c1 * (d0 * v0 + d1 * c1 + d2 * c2) AS e1, d2 - tau * c2 * (d0 * v0 + d1 * c1 + d2 * c2) AS e2 FROM w)
+, u AS (SELECT b.*, e.* EXCLUDE (c0), b1 - tau * c1 * (b0 * v0 + b1 * c1 + b2 * c2) AS u1, b2 - tau * c2 * (b0 * v0 + b1 * c1 + b2 * c2) AS u2 FROM b, e)"""
+_SUMS3 = """
+, st AS (SELECT count(*) AS n, any_value(my) AS my, sum((y - my) * (y - my)) AS yy, sum(u1 * u1) AS a11, sum(u1 * u2) AS a12, sum(u2 * u2) AS a22, sum(u1 * (y - my)) AS r1, sum(u2 * (y - my)) AS r2, any_value(f * e1 * e1) AS s11, any_value(f * e1 * e2) AS s12, any_value(f * e2 * e2) AS s22 FROM u)"""
+
+
+def _solved(sp: str, source: str = "st") -> str:
+    """The penalised fit at smoothing parameter sp, and what its determinants and traces need."""
+    return f"""SELECT *, (p22 * r1 - p12 * r2) / det AS z1, (p11 * r2 - p12 * r1) / det AS z2, (p22 * a11 - 2 * p12 * a12 + p11 * a22) / det AS edf
+  FROM (SELECT *, p11 * p22 - p12 * p12 AS det FROM (SELECT *, a11 + {sp} * s11 AS p11, a12 + {sp} * s12 AS p12, a22 + {sp} * s22 AS p22 FROM {source}))"""
+
+
+_K3_SP = 50.0
+_K3_FIT = f"{_K3}{_SUMS3}\n, q AS ({_solved(str(_K3_SP))})"
+_K3_TERMS = "SELECT unnest(['(Intercept)', 's(l_quantity).1', 's(l_quantity).2']) AS term, unnest([round(my, {0}) + 0.0, round(z1, {0}) + 0.0, round(z2, {0}) + 0.0]) AS estimate FROM {1}"
+
+
+def _grid(name: str, source: str, middle: str, step: float) -> str:
+    """The smoothing parameter of least restricted likelihood among 401 around a middle."""
+    lines = f"SELECT st.*, {middle} + {step} * (i - 200) AS rho FROM {source}, range(401) AS g(i)"
+    lines = f"SELECT *, exp(rho) AS sp FROM ({lines})"
+    score = "(n - 2) / 2.0 * ln(yy - z1 * r1 - z2 * r2) + ln(det) / 2 - rho / 2"
+    return f"\n, {name} AS (SELECT arg_min(rho, {score}) AS best FROM ({_solved('sp', f'({lines})')}))"
+
+
+_K3_REML = _K3 + _SUMS3 + _grid("g1", "st", "0.0", 0.1) + _grid("g2", "st, g1", "g1.best", 0.0005) + _grid("g3", "st, g2", "g2.best", 0.0000025) + f"\n, q AS ({_solved('exp(best)', '(SELECT * FROM st, g3)')})"
+
+
+def _k3(spark, sf_dir) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem")
+    u = F.pmod(F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729, F.lit(1000)) / 1000 + 0.0005
+    y = F.sin(2 * math.pi * F.col("l_quantity") / 50) + 0.5 * (F.col("l_discount") * 10) + u - 0.5
+    return df.select(*KEY, "l_quantity", "l_discount", "l_returnflag", y.alias("y"))
+
+
+def _matrix(spark, sf_dir, formula: str, names: list[str], first: int, sp: list[float]) -> DataFrame:
+    """Columns of a model's matrix from the first on."""
+    df = _k3(spark, sf_dir)
+    out = GAM(formula, sp=sp).fit(df).predict_matrix(df.drop("y"))
+    return rounded(out.select(*KEY, *[F.get("lpmatrix", F.lit(first + i)).alias(n) for i, n in enumerate(names)]), 5)
+
+
+@query("lpmatrix_cr_k3", f"{_K3}\nSELECT l_orderkey, l_linenumber, {r('u1', 5)} AS u1, {r('u2', 5)} AS u2 FROM u")
+def lpmatrix_cr(spark, sf_dir):
+    return _matrix(spark, sf_dir, "y ~ s(l_quantity, k=3, bs='cr')", ["u1", "u2"], 1, [1.0])
+
+
+@query("numeric_by_cr_k3", f"{_K3}\nSELECT l_orderkey, l_linenumber, {r('l_discount * b0', 5)} AS b0, {r('l_discount * b1', 5)} AS b1, {r('l_discount * b2', 5)} AS b2 FROM b")
+def numeric_by(spark, sf_dir):
+    return _matrix(spark, sf_dir, "y ~ s(l_quantity, by=l_discount, k=3, bs='cr')", ["b0", "b1", "b2"], 1, [1.0])
+
+
+@query("factor_by_cr_k3", f"{_K3}\nSELECT l_orderkey, l_linenumber, " + ", ".join(r(f"CASE WHEN l_returnflag = '{lv}' THEN u{j} ELSE 0 END", 5) + f" AS {lv.lower()}{j}" for lv in "ANR" for j in (1, 2)) + " FROM u")
+def factor_by(spark, sf_dir):
+    return _matrix(spark, sf_dir, "y ~ l_returnflag + s(l_quantity, by=l_returnflag, k=3, bs='cr')", [f"{lv}{j}" for lv in "anr" for j in (1, 2)], 3, [1.0] * 3)
+
+
+@query("basis_sums_cr_k3", f"{_K3}\nSELECT n, {r('c0 / n')} AS mean0, {r('c1 / n')} AS mean1, {r('c2 / n')} AS mean2, {r('rms0')} AS rms0, {r('norm')} AS max_row_abs_sum FROM m")
+def basis_sums(spark, sf_dir):
+    facts = Facts(table(spark, sf_dir, "lineitem").select("l_quantity"), ["l_quantity"])
+    basis = make_basis(SmoothSpec("s", ("l_quantity",), "cr", 3))
+    basis.setup(facts)
+    s = facts.basis_sums(basis)
+    row = (int(s["n"]), *[float(x / s["n"]) for x in s["sums"]], float(np.sqrt(s["squares"][0] / s["n"])), s["norm"])
+    return rounded(spark.createDataFrame([row], "n long, mean0 double, mean1 double, mean2 double, rms0 double, max_row_abs_sum double"))
+
+
+def _k3_model(spark, sf_dir, **kw) -> GAM:
+    return GAM("y ~ s(l_quantity, k=3, bs='cr')", **kw).fit(_k3(spark, sf_dir))
+
+
+def _k3_terms(name: str, sql: str, digits: int, **kw) -> None:
+    @query(name, sql)
+    def run(spark, sf_dir):
+        return rounded(_k3_model(spark, sf_dir, **kw).coefficients_df(spark).select("term", "estimate"), digits)
+
+
+for _suffix, _local in (("", True), ("_jobs", False)):
+    _k3_terms(f"fit_gaussian_cr_fixed_sp{_suffix}", f"{_K3_FIT}\n{_K3_TERMS.format(5, 'q')}", 5, sp=[_K3_SP], local=_local)
+    _k3_terms(f"fit_reml_gaussian_cr_k3{_suffix}", f"{_K3_REML}\n{_K3_TERMS.format(4, 'q')}", 4, local=_local)
+
+
+def _edf_row(m, spark) -> DataFrame:
+    row = (m.n_, round(m.edf_total_, 4), round(float(m.edf_[0]), 4), round(m.scale_, 5), round(m.deviance_explained_, 5))
+    return spark.createDataFrame([row], "n long, edf_total double, edf double, scale double, deviance_explained double")
+
+
+_K3_EDF = "SELECT n, round(1 + edf, 4) + 0.0 AS edf_total, round(edf, 4) + 0.0 AS edf, round(rss / (n - 1 - edf), 5) + 0.0 AS scale, round(1 - rss / yy, 5) + 0.0 AS deviance_explained FROM (SELECT *, yy - 2 * (z1 * r1 + z2 * r2) + z1 * z1 * a11 + 2 * z1 * z2 * a12 + z2 * z2 * a22 AS rss FROM q)"
+
+
+@query("statistics_fixed_sp_k3", f"{_K3_FIT}\n{_K3_EDF}")
+def statistics_fixed(spark, sf_dir):
+    return _edf_row(_k3_model(spark, sf_dir, sp=[_K3_SP]), spark)
+
+
+@query("statistics_reml_k3", f"{_K3_REML}\n{_K3_EDF}")
+def statistics_reml(spark, sf_dir):
+    return _edf_row(_k3_model(spark, sf_dir), spark)
+
+
+@query("predict_fixed_sp_k3", f"""{_K3_FIT}
+, s AS (SELECT *, (yy - 2 * (z1 * r1 + z2 * r2) + z1 * z1 * a11 + 2 * z1 * z2 * a12 + z2 * z2 * a22) / (n - 1 - edf) AS scale FROM q)
+SELECT l_orderkey, l_linenumber, {r('s.my + u1 * z1 + u2 * z2', 4)} AS fit, {r('sqrt(scale * (1.0 / s.n + (u1 * u1 * p22 - 2 * u1 * u2 * p12 + u2 * u2 * p11) / det))', 5)} AS se_fit FROM u, s""")
+def predict_fixed(spark, sf_dir):
+    df = _k3(spark, sf_dir)
+    out = GAM("y ~ s(l_quantity, k=3, bs='cr')", sp=[_K3_SP]).fit(df).predict(df, se_fit=True)
+    return out.select(*KEY, (F.round("fit", 4) + 0.0).alias("fit"), (F.round("se_fit", 5) + 0.0).alias("se_fit"))
+
+
 # Smooth models -------------------------------------------------------------
 
 
@@ -440,8 +607,6 @@ def flagship(spark, sf_dir):
 
 @query("gamma_hourly")
 def gamma_hourly(spark, sf_dir):
-    from .functions.families import Gamma
-
     df = table(spark, sf_dir, "events").select("value", F.hour("ts").cast("double").alias("hour"), "event_type")
     return GAM("value ~ s(hour, k=8, bs='cc') + event_type", family=Gamma(link="log")).fit(df).coefficients_df(spark)
 

@@ -89,10 +89,15 @@ class Cubic(Basis):
         s = d.T @ curve
         return curve, (s + s.T) / 2
 
+    def wrap(self, x: np.ndarray) -> np.ndarray:
+        """Values outside of the knots brought into the first period."""
+        lo, hi = self.knots[0], self.knots[-1]
+        return np.where((x < lo) | (x > hi), lo + np.mod(x - lo, hi - lo), x)
+
     def eval(self, cols: dict) -> np.ndarray:
         x, t = np.asarray(cols[self.variables[0]], float), self.knots
         if self.cyclic:
-            x = np.where((x < t[0]) | (x > t[-1]), t[0] + np.mod(x - t[0], t[-1] - t[0]), x)
+            x = self.wrap(x)
         j = np.clip(np.searchsorted(t, x) - 1, 0, self.k - 2)
         h = t[j + 1] - t[j]
         up, down = x - t[j], t[j + 1] - x
@@ -112,6 +117,11 @@ def polynomial_powers(d: int, m: int) -> list[tuple[int, ...]]:
     return [p for total in range(m) for p in sorted((q for q in product(range(total + 1), repeat=d) if sum(q) == total), reverse=True)]
 
 
+def polynomials(x: np.ndarray, powers: list[tuple[int, ...]]) -> np.ndarray:
+    """The monomials of these powers, one column each."""
+    return np.column_stack([np.prod([x[:, j] ** q for j, q in enumerate(p)], axis=0) for p in powers])
+
+
 def thin_plate_kernel(r: np.ndarray, m: int, d: int) -> np.ndarray:
     """The radial function whose semi-norm is the thin plate penalty of order m in d dimensions."""
     power = 2 * m - d
@@ -142,7 +152,7 @@ class ThinPlate(Basis):
         self.max_knots = int(spec.extra.get("max_knots", 2000))
 
     def _polynomials(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.prod([x[:, j] ** q for j, q in enumerate(p)], axis=0) for p in self.powers])
+        return polynomials(x, self.powers)
 
     def _kernel(self, x: np.ndarray) -> np.ndarray:
         d2 = ((x[:, None, :] - self.at[None, :, :]) ** 2).sum(2)

@@ -38,7 +38,7 @@ def test_queries_equal_their_sql(spark):
     con = duckdb.connect()
     for t in ("lineitem", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for name in ("link_logit", "fam_gamma_totals", "knots_value_k5", "basis_cr_k3", "gram_weighted", "pirls_logit_2", "predict_ols"):
+    for name in ("link_logit", "fam_gamma_totals", "knots_value_k5", "basis_cr_k3", "basis_cc_k4", "cyclic_wrap", "row_tensor", "factor_by_cr_k3", "gram_weighted", "pirls_logit_2", "pirls_gamma_2", "pirls_poisson_weighted_2_jobs", "predict_ols", "predict_fixed_sp_k3", "statistics_reml_k3", "fit_reml_gaussian_cr_k3_jobs"):
         got = entry.queries()[name](spark, sf).toPandas()
         want = con.execute(entry.oracle_sql()[name]).df()[list(got.columns)]
         keys = [c for c in got.columns if got[c].dtype == object or "int" in str(got[c].dtype)] or list(got.columns)
