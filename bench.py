@@ -14,6 +14,7 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # passes are spread over threads themselves
 os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 

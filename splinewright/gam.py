@@ -107,7 +107,7 @@ class GAM:
         try:
             named = rows.withColumnRenamed("__resp", self.spec.response) if self.spec.response not in rows.columns else rows.drop(self.spec.response).withColumnRenamed("__resp", self.spec.response)
             self.n_ = check_quality(named, self.spec.response, [*self.spec.variables(), "__w", "__off"])
-            self._saturated(rows)
+            self._saturated(rows, weights is None)
             self.setup_ = setup = Setup(self.spec, rows.select(*self.spec.variables()), self.factors, self.n_)
             if setup.p > self.n_:
                 raise ValueError(f"The model has {setup.p} coefficients and only {self.n_} observations")
@@ -124,8 +124,8 @@ class GAM:
         self._fitted = True
         return self
 
-    def _saturated(self, rows: DataFrame) -> None:
-        """Sums of the saturated likelihood, null deviance and weighted moments of the response."""
+    def _saturated(self, rows: DataFrame, plain: bool) -> None:
+        """Sums of the saturated likelihood, null deviance and weighted moments of the response. plain: all weights are 1."""
         y, w, fam = F.col("__resp"), F.col("__w"), self.family_
         on = w > 0
         aggs = {"n_positive": F.count_if(on), "log_w": F.sum(F.when(on, F.log(w)).otherwise(0.0)), "w": F.sum(w), "wy": F.sum(w * y), "wyy": F.sum(w * y * y)}
@@ -138,7 +138,7 @@ class GAM:
         if sums["negative"]:
             raise ValueError("Weights must not be negative")
         if isinstance(fam, Gamma):
-            found = rows.where("__w > 0").groupBy("__w").count().limit(100_001).collect()
+            found = [{"__w": 1.0, "count": sums["n_positive"]}] if plain else rows.where("__w > 0").groupBy("__w").count().limit(100_001).collect()
             if len(found) > 100_000:
                 raise NotImplementedError("Gamma models take at most 100,000 distinct weights")
             sums["weights"] = np.array([r["__w"] for r in found]), np.array([r["count"] for r in found], float)
