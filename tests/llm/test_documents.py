@@ -270,25 +270,68 @@ def test_toxicity_held_out_and_disguised():
     assert 0 <= toxicity.score_text(None, model) == toxicity.score_text("", model) < toxicity.THRESHOLD
 
 
-def test_toxicity_scores_match_the_kernel():
-    """The folded weights give the same as the kernel written out over all subsequences of three characters."""
-    a, b = "idiot", "ixdiot"
+def brute_kernel(a, b):
+    """The normalized kernel, written out over all subsequences of three characters."""
 
     def phi(w):
-        w = "^" + w + "$"
+        w = "^" + w + "^"
         out = Counter()
         for i in range(len(w)):
             for j in range(i + 1, len(w)):
                 for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
                     out[w[i] + w[j] + w[k]] += toxicity.DECAY ** (k - i + 1)
-        return out, toxicity.NORMS[len(w)]
-
-    (pa, na), (pb, nb) = phi(a), phi(b)
-    pa = Counter({k.replace("$", "^"): v for k, v in pa.items()})
-    pb = Counter({k.replace("$", "^"): v for k, v in pb.items()})
-    place = toxicity._places([a, b])
-    f = toxicity.features([a, b], place)
-    assert np.isclose(f[0] @ f[1], sum(pa[u] * pb[u] for u in pa) / na / nb)
+        return out
+
+    pa, pb = phi(a), phi(b)
+    dot = lambda x, y: sum(x[u] * y[u] for u in x)
+    return dot(pa, pb) / np.sqrt(dot(pa, pa) * dot(pb, pb))
+
+
+def test_toxicity_scores_match_the_kernel():
+    """Features, and the folded weights, give the same as the kernel written out."""
+    words = ["idiot", "ixdiot", "aaaa", "banana", "x"]
+    f = toxicity.features(words, toxicity._places(words))
+    assert np.allclose(f @ f.T, [[brute_kernel(a, b) for a in words] for b in words])
+    model = {"weights": np.zeros(toxicity.CLASSES**3), "bias": -0.25}
+    word, u, value, norm = toxicity.subsequences(["idiot"])
+    model["weights"][u] = value / norm
+    assert np.allclose(toxicity.margins(words, model), [brute_kernel("idiot", w) - 0.25 for w in words])
+
+
+def test_toxicity_is_not_a_matter_of_length():
+    """A word repeated without spaces, or very long, is judged like its parts; text scores are those of the words one by one."""
+    model = toxicity.train(toxic_docs(1, 700))
+    for w in ("path", "tharen", "verprainst"):
+        one = toxicity.score_text(w, model)
+        assert one < toxicity.THRESHOLD
+        for n in (2, 5, 20, 500):
+            assert toxicity.score_text((w + "/") * n, model) < toxicity.THRESHOLD, (w, n)
+    texts = [t for t, _ in toxic_docs(5, 40)] + ["tharen " * 3000 + "idiot", "x" * 5000, "", None]
+    together = toxicity.score_texts(texts, model)
+    for t, s in zip(texts, together):
+        m = max((toxicity.margins([w], model)[0] for w in set(toxicity.words_of(t))), default=toxicity.FLOOR)
+        assert np.isclose(s, 1 / (1 + np.exp(-(model["a"] * np.clip(m, -3, 3) + model["b"]))))
+    assert together[40] >= toxicity.THRESHOLD
+
+
+def test_platt_keeps_the_slope_finite_and_positive():
+    y = np.array([0.0] * 90 + [1.0] * 10)
+    for m in (np.where(y > 0, 2.0, -1.0), np.where(y > 0, -1.0, 2.0), np.zeros(100), np.where(y > 0, 1e-9, -1e-9)):
+        a, b = toxicity.platt(m, y)
+        assert 0 < a < 100 and abs(b) < 100
+    a, b = toxicity.platt(np.where(y > 0, 2.0, -1.0), y)
+    assert 1 / (1 + np.exp(-(2 * a + b))) > 0.8 and 1 / (1 + np.exp(a - b)) < 0.1
+    assert toxicity.platt(np.array([1.0]), np.array([1.0])) == (4.0, 0.0)
+    assert toxicity.combine([(None, np.empty(0), np.empty(0))]) is None
+
+
+def test_toxicity_query_on_labelled_rows(spark):
+    """The registered query on its whole tables: held-out recall and false alarms."""
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op9_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").toPandas()
+    toxic, clean = got[got["toxic"] == 1], got[got["toxic"] == 0]
+    # Measured: 101 of 120. Missed are repeated junk without any telling word, and a language with 22 toxic rows to learn from.
+    assert len(toxic) >= 100 and toxic["predicted"].mean() >= 0.8 and clean["predicted"].mean() <= 0.03
 
 
 def test_toxicity_query_cases(spark, odd_docs, no_docs):
