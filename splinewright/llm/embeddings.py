@@ -9,7 +9,8 @@ double precision, so nothing below the threshold links.
 Blocks are told apart by 64-bit fingerprints. A pair is counted where it meets first, in the order of tables and buckets, which each
 side's list of buckets tells: no pair leaves its bucket, only counts of links and the
 edges of a spanning forest do. Buckets of more than `BLOCK` vectors are cut into blocks,
-all of which meet, so no bucket is capped. Equal vectors are one with a multiplicity.
+all of which meet, so no bucket is capped. Ids are hashed and dealt first; vectors follow
+only into buckets where a pair can be. Equal vectors are one with a multiplicity.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and
 rows whose label or id is null, link with nothing; vectors of different lengths never
@@ -28,10 +29,9 @@ from ._common import Workspace, components, partitions, table
 
 TABLES = 5
 PROBES = 2  # coordinates tried in each of two rotations: 4 buckets a table, the first its own
-BLOCK = 1024
+BLOCK = 4096
+ROWS = 512  # rows of a block compared with another block at a time
 SHORT = 32  # rows of a block below which blocks are compared together
-#: Buckets with more than BLOCK vectors, up to which their list is broadcast.
-BROADCAST_BUCKETS = 100_000
 SEED = 20
 
 
@@ -52,6 +52,12 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one (or zero), whatever the size of their components."""
+    x = x / np.maximum(np.abs(x).max(1, initial=0.0), 1e-300)[:, None]
+    return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-300)[:, None]
+
+
 def buckets(unit: np.ndarray) -> np.ndarray:
     """Bucket numbers (rows, TABLES, PROBES^2); the first of each table is the row's own."""
     d = 1 << max(1, (unit.shape[1] - 1).bit_length())
@@ -98,10 +104,12 @@ def _same_bucket_pairs(start: np.ndarray, length: np.ndarray, chunk: np.ndarray,
                 out.append((pa[good], pb[good]))
     for s, n, ci, cj in zip(*(x[length > SHORT] for x in (start, length, i, j))):
         rows = np.arange(s, s + n)
-        a, b = rows[chunk[rows] == ci], rows[chunk[rows] == cj]
-        pa, pb = np.nonzero(close(a, b, True))
-        good = a[pa] < b[pb] if ci == cj else np.ones(len(pa), bool)
-        out.append((a[pa[good]], b[pb[good]]))
+        mine, b = rows[chunk[rows] == ci], rows[chunk[rows] == cj]
+        for k in range(0, len(mine), ROWS):
+            a = mine[k : k + ROWS]
+            pa, pb = np.nonzero(close(a, b, True))
+            good = a[pa] < b[pb] if ci == cj else np.ones(len(pa), bool)
+            out.append((a[pa[good]], b[pb[good]]))
     return [np.concatenate(x) if x else np.empty(0, np.int64) for x in (list(zip(*out)) or [(), ()])]
 
 
@@ -124,9 +132,9 @@ def _linked(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
     for d in np.unique(dim):
         at = np.flatnonzero(used & (dim == d))
         if len(at):
-            x[at, :d] = np.frombuffer(b"".join(part["vec"].to_numpy()[at]), np.float32).reshape(len(at), d)
-    norm = np.sqrt((x * x).sum(1))
-    x /= np.where(norm > 0, norm, 1)[:, None]
+            raw = b"".join(part["vec"].to_numpy()[at])
+            x[at, :d] = np.frombuffer(raw, np.float32 if len(raw) == 4 * d * len(at) else np.float64).reshape(len(at), d)
+    x = _unit(x)
 
     def close(a, b, cross=False):
         if cross:
@@ -136,9 +144,13 @@ def _linked(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
     pa, pb = _same_bucket_pairs(start, length, part["chunk"].to_numpy(), part["i"].to_numpy()[start], part["j"].to_numpy()[start], close)
     if not len(pa):
         return empty
-    raw, t, bucket = part["keys"].to_numpy(), part["t"].to_numpy()[pa], part["bucket"].to_numpy()[pa]
+    t, bucket = part["t"].to_numpy()[pa], part["bucket"].to_numpy()[pa]
     rows, back = np.unique(np.concatenate((pa, pb)), return_inverse=True)
-    keys = np.frombuffer(b"".join(raw[rows]), np.int32).reshape(len(rows), TABLES, -1)
+    # The bucket lists of what is close are hashed anew, which costs less than to carry all.
+    keys = np.empty((len(rows), TABLES, PROBES**2), np.int32)
+    for d in np.unique(dim[rows]):
+        at = np.flatnonzero(dim[rows] == d)
+        keys[at] = buckets(x[rows[at], :d])
     ka, kb = back[: len(pa)], back[len(pa) :]
     # A pair counts where it meets first.
     first = np.ones(len(pa), bool)
@@ -146,7 +158,7 @@ def _linked(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
         meets, at = _meets(keys[ka, table_], keys[kb, table_])
         first &= np.where(t == table_, at == bucket, ~meets | (t < table_))
     pa, pb = pa[first], pb[first]
-    ids, mult = part["rep"].to_numpy(), part["mult"].to_numpy()
+    ids, mult = part["node"].to_numpy(), part["mult"].to_numpy()
     names, back = np.unique(ids[np.concatenate((pa, pb))], return_inverse=True)
     na, nb = back[: len(pa)], back[len(pa) :]
     links = (np.bincount(na, mult[pb], len(names)) + np.bincount(nb, mult[pa], len(names))).astype(np.int64)
@@ -185,46 +197,52 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     ws = Workspace(spark, "embeddings")
-    v = F.col(vector_col).cast("array<float>")
+    wide = vectors.schema[vector_col].dataType.elementType.simpleString() != "float"
+    v = F.col(vector_col).cast("array<double>" if wide else "array<float>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), F.col(label_col).alias("label"))
     usable = finite(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
-    distinct = ws.stage(rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")), "distinct")
+    distinct = ws.stage(rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult")).withColumn("serial", F.monotonically_increasing_id()), "distinct")
+    kind = np.float64 if wide else np.float32
+
+    def packed(batches):
+        for batch in batches:
+            for d, part in batch.groupby(batch["v"].map(len), sort=False):
+                x = np.vstack(part["v"].to_numpy()).astype(kind)
+                yield pd.DataFrame({"node": part["serial"], "dim": d, "mult": part["mult"], "vec": [r.tobytes() for r in x]})
 
     def hashed(batches):
         for batch in batches:
             for d, part in batch.groupby(batch["v"].map(len), sort=False):
-                x = np.vstack(part["v"].to_numpy()).astype(np.float32)
-                wide = x.astype(np.float64)
-                keys = buckets(wide / np.sqrt((wide * wide).sum(1))[:, None])
+                x = np.vstack(part["v"].to_numpy()).astype(kind).astype(np.float64)
+                keys = buckets(_unit(x))
                 # Own bucket and probes, each once a table.
                 for t in range(TABLES):
                     for p in range(keys.shape[2]):
                         new = ~(keys[:, t, :p] == keys[:, t, p : p + 1]).any(1)
-                        yield pd.DataFrame({
-                            "label": part["label"].to_numpy()[new], "dim": d, "t": t, "bucket": keys[new, t, p], "own": p == 0, "rep": part["rep"].to_numpy()[new],
-                            "mult": part["mult"].to_numpy()[new], "vec": [r.tobytes() for r in x[new]], "keys": [k.tobytes() for k in keys[new]],
-                        })
-
-    kind = distinct.schema["label"].dataType.simpleString()
-    members = distinct.mapInPandas(hashed, f"label {kind}, dim int, t int, bucket int, own boolean, rep long, mult long, vec binary, keys binary")
-    place = ["label", "dim", "t", "bucket"]
+                        yield pd.DataFrame({"label": part["label"].to_numpy()[new], "dim": d, "t": t, "bucket": keys[new, t, p], "own": p == 0, "node": part["serial"].to_numpy()[new]})
+
+    name = distinct.schema["label"].dataType.simpleString()
+    members = distinct.select("label", "v", "serial").mapInPandas(hashed, f"label {name}, dim int, t int, bucket int, own boolean, node long")
+    dealt = members = ws.stage(members.select(F.xxhash64("label", "dim", "t", "bucket").alias("place"), "t", "bucket", "own", "node"), "members")
     # A bucket without an owner, or with one vector, has no pair; large ones are cut into blocks.
-    sizes = members.groupBy(*place).agg(F.count(F.lit(1)).alias("m"))
-    large = ws.stage(sizes.where(F.col("m") > BLOCK).select(*place, F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks")), "large")
-    if large.count() <= BROADCAST_BUCKETS:
-        large = F.broadcast(large)
-    members = members.join(large, place, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    sizes = members.groupBy("place").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("owned")).where("m > 1 and owned")
+    members = members.join(sizes.select("place", F.ceil(F.col("m") / BLOCK).cast("int").alias("chunks")), "place")
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     chunk = F.col("chunk")
     meets = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, chunk).alias("i"), F.greatest(c, chunk).alias("j")))
-    blocks = members.withColumn("block", F.explode(meets)).select(F.xxhash64(*place, "block.i", "block.j").alias("key"), "dim", "t", "bucket", "block.i", "block.j", "chunk", "own", "rep", "mult", "vec", "keys")
+    # Ids are dealt first; vectors go only where a block has use for them.
+    members = members.join(distinct.select("v", "mult", "serial").mapInPandas(packed, "node long, dim int, mult long, vec binary"), "node")
+    blocks = members.withColumn("block", F.explode(meets)).select(F.xxhash64("place", "block.i", "block.j").alias("key"), "dim", "t", "bucket", "block.i", "block.j", "chunk", "own", "node", "mult", "vec")
     blocks = blocks.repartition(partitions(spark), "key").sortWithinPartitions("key")
     found = ws.stage(blocks.mapInPandas(_links(threshold), "node long, links long, to long"), "found")
-    comp = components(ws, found.select(F.col("node").alias("a"), F.col("to").alias("b")))
-    count = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
-    named = distinct.join(count, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.where("mult > 1 or links is not null").select("label", "v", "rep", "mult", "links", "component")
+    comp = components(ws, found.select(F.col("node").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "serial")
+    count = found.groupBy(F.col("node").alias("serial")).agg(F.sum("links").alias("links"))
+    named = distinct.join(count, "serial", "left").join(comp.withColumnRenamed("component", "root"), "serial", "left")
+    named = ws.stage(named.where("mult > 1 or links is not null").select("label", "v", "rep", "mult", "links", "root"), "named")
+    least = named.where("root is not null").groupBy("root").agg(F.min("rep").alias("component"))
+    named = named.join(least, "root", "left").drop("root")
+    ws.drop(dealt, found)
     out = rows.join(named.withColumn("ok", F.lit(True)), ["label", "v", "ok"], "left")
     component = F.coalesce("component", "rep", "vec_id")
     n_links = F.coalesce(F.col("mult") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
