@@ -50,10 +50,10 @@ class Workspace:
     def _path(self, text: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(text)
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
+    def stage(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         self._n += 1
         where = f"{self.root}/{self._n}-{name}"
-        df.write.option("compression", "snappy").parquet(where)  # little native memory per open file
+        df.write.option("compression", codec).parquet(where)  # snappy: little native memory per open file
         out = self.spark.read.schema(df.schema).parquet(where)
         out._staged_at = where
         return out

@@ -56,6 +56,13 @@ def test_near_duplicates_against_brute_force(spark, vectors):
     assert len(got) == n and embeddings.near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_doubles_and_repeated_ids(spark):
+    """Doubles are compared as such, however large; rows of one id with different vectors have links of their own."""
+    rows = [(1, [1e200, 1.0]), (2, [1e200, 5.0]), (7, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [0.01, 1.0]), (20, [1.0, 1.0 + 1e-12]), (21, [1.0, 1.0]), (21, [1.0, 1.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int")).collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == Counter([(1, 2, 1), (2, 2, 1), (7, 2, 1), (7, 1, 7), (8, 1, 7), (20, 2, 20), (21, 2, 20), (21, 2, 20)])
+
+
 def test_blocks_give_the_same(vectors, monkeypatch):
     want = Counter(map(tuple, embeddings.near_duplicates(vectors).collect()))
     monkeypatch.setattr(embeddings, "BLOCK", 40)
@@ -88,6 +95,49 @@ def test_top_k_leaves_non_finite_vectors_out(spark):
     assert sorted(got) == [(200, k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
+def test_top_k_of_repeated_and_huge_query_rows(spark):
+    """Repeated rows are one query, rows of one id with other vectors are queries of their own; scores past 2^53 are an error."""
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(1, 30)] + [(100, [1.0, 2.0])] * 3 + [(200, [1.0, 0.0]), (200, [0.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 4).collect()
+    per = Counter(r["query_id"] for r in got)
+    assert per == {100: 4, 200: 8}
+    for q, vs in ((100, [(1, 2)]), (200, [(1, 0), (0, 1)])):
+        want = []
+        for v in vs:
+            best = sorted((-int(1024 * 1024 * (v[0] * x[0] + v[1] * x[1])), i) for i, x in rows if i != q)[:4]
+            want += [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q) == sorted(want)
+    for x in (1e12, 1e300):
+        with pytest.raises(ValueError, match="2\\^53"):
+            topk.top_k(spark.createDataFrame([(100, [x]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0)
+
+
+def test_top_k_moves_rows_in_proportion(spark, monkeypatch):
+    """Clustered data: a member is copied to a few queries' blocks, however many there are in all (5 and 20 here)."""
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERIES_BLOCK", 16)
+    moved = {}
+    original = topk._solve
+
+    def counted(k):
+        run = original(k)
+
+        def wrapped(group):
+            moved[n].add(int((~group["is_query"]).sum()))
+            return run(group)
+
+        return wrapped
+
+    monkeypatch.setattr(topk, "_solve", counted)
+    rng = np.random.default_rng(3)
+    for n in (8000, 32000):
+        moved[n] = spark.sparkContext.accumulator(0)
+        x = np.repeat(np.eye(40), n // 40, axis=0) * 30 + rng.normal(size=(n, 40)) * 0.1
+        rows = [(i, x[j].tolist()) for i, j in enumerate(rng.permutation(n))]
+        assert topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).count() == 10 * (n // 100)
+    assert moved[8000].value <= 4 * 8000 and moved[32000].value <= 4 * 32000, moved  # to every block of queries, twice: 10 and 40 a member
+
+
 def test_url_rules(spark):
     urls = {
         "http://a.com/en/x": ("a.com", "/en/x", "com/en/", "block"), "https://www.EXAMPLE.com/en/7?x#y": ("www.example.com", "/en/7", "example.com/en/7", "allow"), "http://example.net/de/85": ("example.net", "/de/85", "example.net/de/8", "block"),
@@ -150,8 +200,79 @@ def test_suffix_array_finds_what_brute_force_finds():
         for i in at:
             want[i : i + n] = np.maximum(want[i : i + n], len({page[k] for k in at}))
     assert (got == want).all()
-    order, _ = htmltext.suffix_array(tokens, 256)
+    order, lcp = htmltext.suffix_array(tokens, 256)
     assert [tuple(tokens[i:]) for i in order] == sorted(tuple(tokens[i:]) for i in range(len(tokens)))
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert lcp.tolist() == [0] + [common(tokens[i:], tokens[j:]) for i, j in zip(order, order[1:])]
+
+
+def brute_text(pages):
+    """{page_id: text} of (page_id, host, has_main, blocks): repeated runs found by comparing all of them, in plain Python."""
+    n, out = htmltext.MIN_RUN, {}
+    where, names = {}, {}
+    for _, host, has_main, bs in pages:
+        words = " ".join(bs).split(" ")
+        if not has_main:
+            for i in range(len(words) - n + 1):
+                where.setdefault((host, tuple(words[i : i + n])), set()).add(tuple(bs))
+        else:
+            for b in bs:
+                names.setdefault((host, b), set()).add(tuple(bs))
+    for i, host, has_main, bs in pages:
+        if has_main:
+            total = len({tuple(b) for _, h, m, b in pages if m and h == host})
+            drop = [len(b.split(" ")) >= n and total >= 4 and len(names[host, b]) >= max(4, 0.6 * total) for b in bs]
+            if 2 * sum(len(b.split(" ")) for b, d in zip(bs, drop) if d) >= sum(len(b.split(" ")) for b in bs):
+                drop = [False] * len(bs)
+            out[i] = " ".join(b for b, d in zip(bs, drop) if not d)
+            continue
+        words = [(k, w) for k, b in enumerate(bs) for w in b.split(" ")]
+        cover = [False] * len(words)
+        for at in range(len(words) - n + 1):
+            if len(where[host, tuple(w for _, w in words[at : at + n])]) > 1:
+                cover[at : at + n] = [True] * n
+        out[i] = " ".join(b for k, b in enumerate(bs) if 2 * sum(c for c, (j, _) in zip(cover, words) if j == k) < sum(j == k for j, _ in words))
+    return out
+
+
+@pytest.mark.parametrize("part_bytes", [8 << 20, 0])
+def test_html_equals_brute_force_where_markup_says_little(spark, monkeypatch, part_bytes):
+    """Boilerplate without telling tags, and inside articles: the query equals brute force in one array and by dealt suffixes, and the array changes pages."""
+    import random
+
+    monkeypatch.setattr(htmltext, "PART_BYTES", part_bytes)
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(n))
+    menu, legal, letter = text(9), text(20), text(12)
+    rows = []
+    for i in range(60):
+        own = "".join(f"<p>{text(rng.randrange(3, 40))}</p>" for _ in range(rng.randrange(1, 5)))
+        if i % 3 == 0:
+            body = f"<div>{menu}</div><div>{own}</div><div>{legal if i % 2 else text(4) + ' ' + legal}</div>"
+        elif i % 3 == 1:
+            body = f"<div>{text(8)}</div><article>{own}<p>{letter if i % 4 else text(12)}</p></article>"
+        else:
+            body = f"<div>{own}</div>"
+        rows.append((i, f"http://{'one.example' if i < 40 else 'two.example'}/p{i}", body))
+    rows += [(60, "http://one.example/copy", rows[0][2]), (61, "http://one.example/copy", rows[1][2]), (62, "http://one.example/", f"<div>{rows[2][2]}<p>x</p></div>"), (63, "http://one.example/e", "")]
+    pages = spark.createDataFrame([(*r, "t", True, "h") for r in rows], "page_id long, url string, html string, text string, has_main boolean, host string")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(pages).collect()}
+    parsed = [(i, u.split("/")[2], *htmltext.candidates(h)) for i, u, h in rows]
+    assert got == brute_text(parsed)
+    changed = {k: sum(got[i] != " ".join(bs) for i, _, m, bs in parsed if m == k) for k in (True, False)}
+    assert changed[False] >= 20 and changed[True] >= 10
+
+
+def test_hostile_html_takes_linear_time():
+    """Tags, quotes, comments and elements that never end, and odd nesting, a megabyte each."""
+    import time
+
+    for part, n in (("<a ", 350_000), ("<a =\"", 200_000), ("<a x='>", 150_000), ("<title>", 150_000), ("<script>", 120_000), ("<!--", 250_000), ("<!", 500_000), ("<div>", 200_000), ("</section><div>", 70_000), ("<", 1_000_000), ("=\"", 500_000), ("<div class=", 90_000), ("&#", 500_000)):
+        t = time.time()
+        htmltext.blocks(part * n)
+        assert time.time() - t < 5, part
+    assert htmltext.blocks("a<p x='>b</p>") == [(0, "a"), (0, "b")] and htmltext.blocks('<p title="a>b">c') == [(0, "c")]
+    assert htmltext.blocks("İİ<SCRIPT>x</Script >y") == [(0, "İİy")]
 
 
 def test_every_operator_has_its_query():
