@@ -3,13 +3,16 @@
 Method: host word segmentation. Names in the host are split at punctuation, then each
 concatenated name is split into words by unigram Viterbi; multinomial naive Bayes scores
 the words of host and path. The unigram counts are those of the labelled names below plus,
-with as much weight in all, the delimited tokens of all urls given (counted whole by Spark,
-none left out). A label of a host that nothing divides is no token: that it occurs doesn't
-make it a word. So verdicts follow the tokens' shares, not the number of urls. Rules win
-over the scorer: the longest rule that fits.
+with as much weight in all, the delimited tokens of all urls given, counted whole by
+Spark. A token is a word from a share of `WORD_SHARE` of all tokens on, so at most
+1 / WORD_SHARE words are held however many urls there are; a label of a host that nothing
+divides is no token: that it occurs doesn't make it a word. So verdicts follow the tokens'
+shares, not the number of urls. For scoring, accents go and digits inside a word count as
+the letters that they look like. Rules win over the scorer: the longest rule that fits.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and is
-allowed, as is one without any known word; user info and ports stay in the host as
+allowed, as is one without any known word; names of any length are read whole, in time
+proportional to it, though no word has over `LONGEST` letters; user info and ports stay in the host as
 written; repeated rows are judged alike; other columns are ignored.
 """
 
@@ -17,13 +20,20 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import Workspace, table
+
+WORD_SHARE = 2e-6
+LONGEST = 24
+
+#: Digits that stand for letters.
+LOOKALIKES = str.maketrans("0134579", "oieastg")
 
 #: The rules of the query, as (verdict, rule).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -133,6 +143,8 @@ def train(names: Counter) -> dict:
     for w, c in names.items():
         parts = plain.split(w)
         # A name that known words make up entirely is not a word itself.
+        if len(w) > LONGEST:
+            continue
         if len(parts) == 1 or not all(len(x) > 2 and x in known for x in parts):
             counts[w] += c * share
     by = {k: Counter(ws) for k, ws in seeds.items()}
@@ -143,8 +155,14 @@ def train(names: Counter) -> dict:
 
 
 def words_of(host: str, path: str, segment: Segmenter) -> list[str]:
-    tokens = re.findall(r"[a-z]+", host) + re.findall(r"[a-z]+", path.lower())
-    return [w for t in tokens for w in segment.split(t)]
+    return [w for t in [*plain_tokens(host), *plain_tokens(path)] for w in segment.split(t)]
+
+
+def plain_tokens(text: str) -> list[str]:
+    """Runs of letters, accents taken off; digits between letters as the letters that they look like, others apart."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+    plain = re.sub(r"(?<=[a-z])[0134579]+(?=[a-z])", lambda m: m.group().translate(LOOKALIKES), plain)
+    return re.findall(r"[a-z]+", plain)
 
 
 def judge(url: str | None, rules: dict, segment: Segmenter, model: dict) -> tuple:
@@ -159,11 +177,13 @@ def url_tokens(pages: DataFrame, url_col: str) -> Counter:
     """Counts of the delimited tokens of all urls, but for labels of hosts that are one token."""
     url = F.lower(F.col(url_col))
     host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    divided = F.filter(F.split(host, r"\."), lambda x: ~x.rlike("^[a-z]*$"))
+    divided = F.filter(F.split(host, r"\."), lambda x: x.rlike("^[a-z]+([_-][a-z]+)+$"))
     rest = F.regexp_replace(url, r"(?s)^.*?://[^/?#]*", "")
     text = F.concat_ws(" ", divided, rest)
-    token = F.explode(F.regexp_extract_all(text, F.lit("([a-z]{2,})"), 1))
-    rows = pages.where(url.contains("://")).select(token.alias("w")).groupBy("w").count().collect()
+    token = F.explode(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}])([a-z]{2,})(?![\p{L}\p{N}])"), 1))
+    counts = Workspace(pages.sparkSession, "urls").stage(pages.where(url.contains("://")).select(token.alias("w")).groupBy("w").count(), "tokens")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    rows = counts.where(F.col("count") >= WORD_SHARE * total).collect()  # 1 / WORD_SHARE rows at most
     return Counter({r["w"]: r["count"] for r in sorted(rows)})
 
 
