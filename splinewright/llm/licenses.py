@@ -1,6 +1,7 @@
 """Licence scans by a trained paragraph classifier (DataFrame operations only on the data).
 
-Paragraphs are lines. Sparse logistic regression over word n-grams (one to three words)
+Paragraphs are lines; a line of `WRAPPED` characters or more that doesn't end a sentence goes
+on in the next one, as notices wrapped at a column do. Sparse logistic regression over word n-grams (one to three words)
 tells licence families and the class `unknown` apart; its weights are fitted here, on the
 driver, from the templates below and disguised forms of them (words left out, put in, or
 put around), with ordinary sentences as unknown. L1 shrinkage keeps few n-grams, and a
@@ -30,6 +31,7 @@ from ._common import table
 PROBABILITY = 0.5
 CONTAINED = 0.5
 UNKNOWN = "unknown"
+WRAPPED = 40
 
 #: Notices of licence families.
 TEMPLATES = {
@@ -166,7 +168,6 @@ def train(templates: dict = TEMPLATES, others: list[str] = OTHERS, forms: int =
     generic = sorted({w for w, y in rows if y for w in w} | set(FILLER))
     # Loose words of notices in any order are unknown, so are short pieces of plain words.
     data += [([str(x) for x in rng.choice(generic, rng.integers(1, 12))], 0) for _ in range(600)]
-    fit, held = data[: len(data)], []
     mark = rng.random(len(data)) < 0.2
     fit, held = [d for d, m in zip(data, mark) if not m], [d for d, m in zip(data, mark) if m]
     known = {w for w, y in rows if y for w in w} - STOP
@@ -222,6 +223,11 @@ def _grams(words: Column, k: int) -> Column:
     return F.when(n > 0, runs).otherwise(F.array().cast("array<string>"))
 
 
+def _paragraphs(text: Column) -> Column:
+    """Lines, those joined that a wrap has parted."""
+    return F.split(F.regexp_replace(text, rf"\n(?<=[^\n]{{{WRAPPED - 1}}}[^.!?:;\s][ \t\r]{{0,3}}\n)(?=[ \t]*\S)", " "), "\n")
+
+
 def found_licenses(text: Column, model: dict) -> Column:
     """array<struct<paragraph, family, probability, contained>> of the licence paragraphs of a text."""
     k = len(model["families"])
@@ -231,7 +237,7 @@ def found_licenses(text: Column, model: dict) -> Column:
     bias = _constant(model["bias"], "array<double>")
     families = _constant(model["families"], "array<string>")
     pairs = _constant(model["pairs"], "map<string,array<array<string>>>")
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    lines = _paragraphs(F.coalesce(text, F.lit("")))
     found = F.transform(lines, lambda p, i: F.struct(i.alias("i"), F.regexp_extract_all(F.lower(p), F.lit(f"({_WORD})"), 1).alias("w")))
     found = F.filter(found, lambda x: F.arrays_overlap(x["w"], anchors))
     found = F.transform(found, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"), F.array_intersect(F.concat(x["w"], _grams(x["w"], 2), _grams(x["w"], 3)), vocab).alias("g")))
@@ -253,7 +259,7 @@ def found_licenses(text: Column, model: dict) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: dict | None = None) -> DataFrame:
     """One row per document: doc_id, n_paragraphs, n_licenses, family (of the surest paragraph), families, licenses."""
-    found = docs.select(F.col(id_col).alias("doc_id"), F.size(F.split(F.col(text_col), "\n")).alias("k"), found_licenses(F.col(text_col), model or train()).alias("licenses"))
+    found = docs.select(F.col(id_col).alias("doc_id"), F.size(_paragraphs(F.col(text_col))).alias("k"), found_licenses(F.col(text_col), model or train()).alias("licenses"))
     best = F.array_max(F.transform("licenses", lambda x: F.struct(x["probability"].alias("p"), (-x["paragraph"]).alias("i"), x["family"].alias("f"))))
     families = F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["family"]))), ",")
     return found.select("doc_id", F.greatest(F.coalesce("k", F.lit(0)), F.lit(0)).cast("long").alias("n_paragraphs"), F.size("licenses").cast("long").alias("n_licenses"), best["f"].alias("family"), families.alias("families"), "licenses")

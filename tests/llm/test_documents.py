@@ -242,6 +242,25 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.scan(no_docs, model=model).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """A notice wrapped at a column is one paragraph; lines that end a sentence, or are short, are their own; a long line is scanned whole."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    plain = "Nothing of the kind was said at the meeting of the council of the town of old.\nReleased under the MIT License.\nEnd"
+    rows = [(0, "Intro.\n\n" + mit), (1, plain), (2, "word " * 20_000 + "\nReleased under the MIT License."), (2, "x"), (3, "\n" * 5000), (None, mit)]
+    got = licenses.scan(spark.createDataFrame([(*r, "c", 3) for r in rows], "doc_id long, text string, families string, k int"), model=licenses.train(forms=6)).collect()
+    assert Counter((r["doc_id"], r["families"], r["n_licenses"]) for r in got) == Counter([(0, "MIT", 1), (1, "MIT", 1), (2, "MIT", 1), (2, "", 0), (3, "", 0), (None, "MIT", 1)])
+    assert {r["doc_id"]: r["n_paragraphs"] for r in got if r["n_paragraphs"] > 1}[0] == 3
+
+
+def test_tokens_of_a_whole_table_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    encode, tok = packing._encoder(path), Tokenizer.from_file(path)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r["text"]] + ["", " ", "\u00e9\u0301\ud7ff\U0001f600 \t\r\n x", "a" * 5000]
+    assert all(encode(t) == tok.encode(t, add_special_tokens=False).ids for t in texts)
+
+
 def toxic_docs(seed, n):
     import random
 
