@@ -120,7 +120,7 @@ class GAM:
                     engine.df.unpersist()
         finally:
             rows.unpersist()
-        self._data, self._offset = data, offset
+        self._data, self._offset, self._weights = data, offset, weights
         self._fitted = True
         return self
 
@@ -288,6 +288,68 @@ class GAM:
         rows = [(n, float(b), float(s)) for n, b, s in zip(self.setup_.names, self.coefficients_, np.sqrt(np.maximum(np.diag(self.Vp_), 0)))]
         return spark.createDataFrame(rows, "term string, estimate double, se double")
 
+    # The training rows are a table of any length, so what belongs to them is a DataFrame.
+
+    @property
+    def X_(self) -> DataFrame:
+        """The training rows with their rows of the model matrix in `lpmatrix`."""
+        return self.predict_matrix(self._data)
+
+    @property
+    def y_(self) -> DataFrame:
+        return self._training("__resp", "y")
+
+    @property
+    def weights_(self) -> DataFrame:
+        return self._training("__w", "w")
+
+    @property
+    def offset_(self) -> DataFrame:
+        return self._training("__off", "offset")
+
+    def _training(self, name: str, alias: str) -> DataFrame:
+        self._check()
+        return self._rows(self._data, self._weights, self._offset).select(F.col(name).alias(alias))
+
+    @property
+    def coef_map_(self):
+        """Between raw and constrained coefficients, matrices and penalties."""
+        self._check()
+        return self.setup_.coef_map()
+
+    @property
+    def smooth_info_(self) -> list[dict]:
+        """Each smooth's label, place among the coefficients, penalties, null space and degrees of freedom."""
+        self._check()
+        out = []
+        for i, t in enumerate(self.setup_.terms):
+            at = self.setup_.term_slice(i)
+            out.append({"label": t.label, "variables": t.spec.variables, "by": t.spec.by, "bs": t.spec.bs, "first_coef": at.start, "last_coef": at.stop, "n_coefs": t.size, "ranks": list(t.basis.ranks), "null_dim": t.basis.null_dim, "n_penalties": len(t.penalties()), "edf": float(self.edf_[i])})
+        return out
+
+    def create_views(self, spark, prefix: str = "gam") -> list[str]:
+        """Temporary views <prefix>_terms, _coefficients, _summary_parametric and _summary_smooth for SQL; returns their names."""
+        self._check()
+        found = self.summary(show=False)
+        info = [(s["label"], ",".join(s["variables"]), s["by"], s["bs"], s["first_coef"], s["n_coefs"], s["null_dim"], s["edf"]) for s in self.smooth_info_]
+        tables = {
+            "terms": spark.createDataFrame(info, "term string, variables string, by string, bs string, first_coef int, n_coefs int, null_dim int, edf double"),
+            "coefficients": self.coefficients_df(spark), "summary_parametric": found.p_table_df(spark), "summary_smooth": found.s_table_df(spark),
+        }
+        for name, df in tables.items():
+            df.createOrReplaceTempView(f"{prefix}_{name}")
+        return [f"{prefix}_{name}" for name in tables]
+
+    def rug(self, select: int = 0) -> DataFrame:
+        """The training rows' values that a smooth sees, (term, level, x[, x2]): a projection, of any length."""
+        self._check()
+        if not 0 <= select < len(self.setup_.terms):
+            raise ValueError(f"select must lie in 0..{len(self.setup_.terms) - 1}")
+        t = self.setup_.terms[select]
+        level = F.col(f"`{t.spec.by}`").cast("string") if t.levels is not None else F.lit(None).cast("string")
+        xs = [F.col(f"`{v}`").cast("double").alias("x" if not k else f"x{k + 1}") for k, v in enumerate(t.spec.variables)]
+        return self._data.select(F.lit(t.label).alias("term"), level.alias("level"), *xs)
+
     # queries ---------------------------------------------------------------
 
     def predict(self, newdata: DataFrame | None = None, pred_type: str = "response", se_fit: bool = False, offset: str | Column | None = None) -> DataFrame:

@@ -307,6 +307,16 @@ class Term:
                 out.append(np.delete(np.delete(big, self.dropped, 0), self.dropped, 1))
         return out
 
+    def to_raw(self) -> np.ndarray:
+        """The map from this term's coefficients to those of its raw basis, for each level apart."""
+        one = np.eye(self.basis.n_coefs) if self.map is None else self.map
+        full = np.kron(np.eye(len(self.levels) if self.levels is not None else 1), one)
+        return np.delete(full, self.dropped, 1)
+
+    def eval_raw(self, cols: dict) -> np.ndarray:
+        """Rows of the raw basis, before any constraint."""
+        return Term(self.spec, self.basis, self.levels).eval(cols)
+
     def eval(self, cols: dict) -> np.ndarray:
         x = self.basis.eval(cols)
         if self.map is not None:

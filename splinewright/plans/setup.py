@@ -204,6 +204,9 @@ class Setup:
     def term_slice(self, i: int) -> slice:
         return slice(self.starts[i], self.starts[i] + self.terms[i].size)
 
+    def coef_map(self) -> "CoefMap":
+        return CoefMap(self)
+
     def find(self, label: str) -> int:
         for i, t in enumerate(self.terms):
             if t.label == label:
@@ -230,6 +233,60 @@ class Setup:
         return self.eval(cols)
 
 
+class CoefMap:
+    """Between the coefficients of raw bases and those of the model, which constraints leave; parametric ones are the same."""
+
+    def __init__(self, setup: Setup):
+        self.setup = setup
+        blocks = [np.eye(setup.n_param)] + [t.to_raw() for t in setup.terms]
+        self.starts = np.cumsum([0] + [len(b) for b in blocks])
+        self.matrix = np.zeros((self.starts[-1], setup.p))
+        at = 0
+        for start, b in zip(self.starts, blocks):
+            self.matrix[start : start + len(b), at : at + b.shape[1]] = b
+            at += b.shape[1]
+
+    def raw_slice(self, i: int) -> slice:
+        """Where term i's raw coefficients stand."""
+        return slice(int(self.starts[i + 1]), int(self.starts[i + 2]))
+
+    def to_raw(self, beta: np.ndarray) -> np.ndarray:
+        return self.matrix @ beta
+
+    def to_constrained(self, raw: np.ndarray) -> np.ndarray:
+        """The model's coefficients whose raw ones are nearest; the map's columns are orthonormal."""
+        return self.matrix.T @ raw
+
+    def transform_x(self, x: np.ndarray) -> np.ndarray:
+        """Rows of the raw bases as rows of the model matrix."""
+        return x @ self.matrix
+
+    def transform_s(self, s: np.ndarray) -> np.ndarray:
+        """A penalty of raw coefficients as one of the model's."""
+        return self.matrix.T @ s @ self.matrix
+
+
+def numerical_rank(a: np.ndarray, tol: float | None = None) -> int:
+    """How many columns of a are independent: diagonals of a QR with column pivots above eps * max(m, n) * the largest."""
+    a = np.array(a, float)
+    if not a.size:
+        return 0
+    limit = EPS * max(a.shape) if tol is None else tol
+    rank, top = 0, 0.0
+    for _ in range(min(a.shape)):
+        norms = np.sqrt((a * a).sum(0))
+        k = int(norms.argmax())
+        top = top or norms[k]
+        if not norms[k] > limit * top:
+            break
+        rank += 1
+        u = a[:, k] / norms[k]
+        a = a - np.outer(u, u @ a)
+        a -= np.outer(u, u @ a)  # twice is enough to be orthogonal
+        a[:, k] = 0.0
+    return rank
+
+
 def dependent_columns(x1: np.ndarray, x2: np.ndarray, tol: float = EPS**0.5) -> list[int]:
     """Columns of x2 that x1 and the other columns of x2 make up, by pivoted elimination of what x1 leaves."""
     q, r = np.linalg.qr(x1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from splinewright.functions.families import Gamma, get_family
 from splinewright.gam import GAM
 from splinewright.operators.solve import LocalEngine, Problem, criterion, derivatives, pirls
-from splinewright.plans.setup import Factor
+from splinewright.plans.setup import Factor, numerical_rank
 from splinewright.sources import models
 from splinewright.streaming.scoring import GramAccumulator, score_stream
 
@@ -265,3 +265,54 @@ def test_hard_data(spark):
     assert np.isfinite(m.coefficients_).all() and np.isfinite(m.deviance_)
     z = GAM("y ~ s(x, k=5, bs='cr')", family="poisson").fit(spark.createDataFrame(pd.DataFrame({"x": x, "y": 0 * x})))
     assert np.isfinite(z.coefficients_).all() and (z.fitted_values_.toPandas()["fit"] >= 0).all()
+
+
+def test_training_attributes_views_and_rug(spark, df):
+    pdf = data()
+    m = GAM("poisson ~ s(x1, k=6, bs='cr') + s(x2, by=fac, k=5, bs='tp') + fac", family="poisson").fit(df, weights="w", offset="o")
+    x = m.setup_.eval({c: pdf[c].to_numpy() for c in ("x1", "x2", "fac")})
+    np.testing.assert_allclose(np.array([r["lpmatrix"] for r in m.X_.collect()]), x, atol=1e-12)
+    for name, column in (("y_", "poisson"), ("weights_", "w"), ("offset_", "o")):
+        np.testing.assert_allclose([r[0] for r in getattr(m, name).collect()], pdf[column])
+    assert [s["label"] for s in m.smooth_info_] == [t.label for t in m.setup_.terms] and m.smooth_info_[-1]["last_coef"] == m.setup_.p
+    assert set(m.create_views(spark, "fit1")) == {"fit1_terms", "fit1_coefficients", "fit1_summary_parametric", "fit1_summary_smooth"}
+    assert spark.sql("SELECT count(*) FROM fit1_coefficients JOIN fit1_summary_parametric USING (term)").first()[0] == m.setup_.n_param
+    assert spark.sql("SELECT sum(edf) FROM fit1_terms").first()[0] == pytest.approx(m.edf_.sum())
+    assert m.rug(1).columns == ["term", "level", "x"] and m.rug(1).count() == len(pdf)
+    with pytest.raises(ValueError):
+        m.rug(2)
+
+
+def test_coefficient_map(df):
+    pdf = data()
+    m = GAM("gaussian ~ s(x1, k=6, bs='cr') + s(x2, by=fac, k=5, bs='cr') + fac").fit(df)
+    cols, c = {v: pdf[v].to_numpy() for v in ("x1", "x2", "fac")}, m.coef_map_
+    raw = np.hstack([m.setup_.eval_parametric(cols, len(pdf)), *[t.eval_raw(cols) for t in m.setup_.terms]])
+    np.testing.assert_allclose(c.transform_x(raw), m.setup_.eval(cols), atol=1e-12)
+    np.testing.assert_allclose(raw @ c.to_raw(m.coefficients_), m.setup_.eval(cols) @ m.coefficients_, atol=1e-10)
+    np.testing.assert_allclose(c.to_constrained(c.to_raw(m.coefficients_)), m.coefficients_, atol=1e-12)
+    big = np.zeros((raw.shape[1], raw.shape[1]))
+    big[c.raw_slice(0), c.raw_slice(0)] = m.setup_.terms[0].basis.penalties[0]
+    np.testing.assert_allclose(c.transform_s(big), m.setup_.penalties[0], atol=1e-9)
+
+
+def test_numerical_rank():
+    rng = np.random.default_rng(0)
+    for m, n, k in ((20, 6, 6), (20, 6, 3), (5, 9, 5), (9, 9, 4)):
+        assert numerical_rank(rng.normal(size=(m, k)) @ rng.normal(size=(k, n))) == k
+    assert numerical_rank(np.zeros((4, 3))) == 0 and numerical_rank(np.zeros((0, 3))) == 0
+    assert numerical_rank(np.diag([1.0, 1e-10, 1e-20])) == 2
+
+
+def test_accumulator_goes_on_after_a_restart(spark, df, tmp_path):
+    m, path = GAM("gaussian ~ x1 + x2").fit(df), f"file://{tmp_path}/sums"
+    first = GramAccumulator(m, path, spark)
+    first.add_batch(df.where("x1 < 0.5"), 0)
+    first.add_batch(df.where("x1 >= 0.5 and x1 < 0.7"), 1)
+    again = GramAccumulator(m, path, spark)
+    again.add_batch(df.where("x1 < 0.5"), 0)
+    again.add_batch(df.where("x1 >= 0.7"), 2)
+    whole = GramAccumulator(m)
+    whole.add_batch(df, 0)
+    np.testing.assert_allclose(again.xx, whole.xx)
+    assert again.seen == {0, 1, 2} and again.n == whole.n and again.yy == pytest.approx(whole.yy)
