@@ -304,6 +304,11 @@ def test_pipeline_stages(spark, sf_dir):
     assert sorted(r["doc_id"] for r in a.collect()) == sorted(r["doc_id"] for r in docs.collect() if toxicity.score_text(r["text"], model) < toxicity.THRESHOLD)
     b = P.drop_near_duplicates(spark, a, sf_dir)
     assert sorted(r["doc_id"] for r in b.collect()) == sorted({r["component_id"] for r in ngramjoin.ngram_components(a).collect()})
+    from test_documents import brute_components
+
+    left = sorted((r["doc_id"], r["text"]) for r in a.collect())
+    _, roots = brute_components([t for _, t in left])
+    assert sorted(r["doc_id"] for r in b.collect()) == sorted({left[k][0] for k in roots})
     c = P.mix_sources(spark, b, sf_dir)
     assert a.columns == b.columns == c.columns == docs.columns
     report = {r["doc_id"]: r["copies"] for r in mixing.mix_report(b).collect() if r["copies"]}
@@ -311,4 +316,26 @@ def test_pipeline_stages(spark, sf_dir):
     d = P.pack_sequences(spark, c, sf_dir)
     used, bound = packing.certificate(d)
     assert bound <= used <= bound + 1 and Counter(r["doc_id"] for r in d.collect() if r["piece"] == 0) == Counter(report)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    tokens = Counter({r["doc_id"]: len(tok.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in b.collect()})
+    assert sum(r["length"] for r in d.collect()) == sum(n * report.get(i, 0) for i, n in tokens.items())
     assert P.run(spark, sf_dir).count() == d.count()
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, sf_dir, odd_docs, no_docs):
+    """Nulls, copies, ties and columns with inner names pass through every stage; an empty table gives an empty result."""
+    import corpus_pipeline
+
+    for docs in (odd_docs, no_docs):
+        empty = docs is no_docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == odd_docs.columns, name
+            ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
+            assert {r["doc_id"] for r in out.select("doc_id").collect()} <= ids
+            assert out.count() == 0 if empty else out.count() > 0, name
+            docs = out
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+        assert packed.count() >= docs.count() and (packed.count() == 0) == empty
