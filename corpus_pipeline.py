@@ -41,7 +41,8 @@ STAGES = [
     ("best_fit_packing", pack_sequences),
 ]
 
-#: Neither the trained scores nor packing can be written in SQL; tests compare each stage with brute force.
+#: Neither the trained scores nor packing can be written in SQL. Tests compare the join with brute force, scores with
+#: texts scored one by one, the mix with its report, and the packing with the tokenizer's counts and the bound.
 ORACLE_SQL = None
 
 
