@@ -31,6 +31,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows up to which a helper table is broadcast; beyond it joins shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """For a join with df, of which `rows` is an upper bound of the rows: broadcast while that is small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 class Workspace:
     """Intermediate tables in the shared folder: they cut lineage and outlive executors.
 
@@ -95,8 +104,7 @@ def global_rank(df: DataFrame, out: str = "_rank") -> DataFrame:
     """Gapless rank from 0 of an ordered() table; needs no window over the rows."""
     starts = offsets(df, [], F.lit(1), "_start")
     local = F.col("_m").bitwiseAND((1 << 33) - 1)
-    # As many rows as range partitions: small enough to broadcast at any input size.
-    return df.join(F.broadcast(starts), "_pid").withColumn(out, F.col("_start") + local).drop("_start")
+    return df.join(bounded(starts, partitions(df.sparkSession)), "_pid").withColumn(out, F.col("_start") + local).drop("_start")
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:

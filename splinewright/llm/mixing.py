@@ -25,12 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, Workspace, table
+from ._common import BROADCAST_ROWS, WORD, Workspace, table
 
 TOPUPS = 3
 BUCKET_BITS = 10
-#: Rows of per-source tables up to which they are broadcast; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+FINE_DIGITS = 6  # of the hash: the crossing bucket's parts
 
 
 def _key(source: Column) -> Column:
@@ -83,10 +82,18 @@ def plan_mix(ws: Workspace, base: DataFrame, max_repeat: int = 3, topups: int |
     # The bucket in which the hash order passes what is left of the target.
     cross = hist.join(src, "_src").where("before <= rest and rest < before + bs")
     cross = ws.stage(cross.select("_src", "_bucket", "before", "rest"), "cross")
-    peers = base.join(_small(cross), ["_src", "_bucket"]).groupBy("_src", "_bucket", "before", "rest", "_h").agg(F.sum("_size").alias("us"))
-    w = Window.partitionBy("_src", "_bucket").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
-    peers = peers.withColumn("upto", F.col("before") + F.sum("us").over(w)).where("upto <= rest")
-    edge = peers.groupBy("_src").agg(F.max("_h").alias("last_h"), F.max("upto").alias("upto"))
+    units = base.join(_small(cross), ["_src", "_bucket"]).groupBy("_src", "before", "rest", "_h").agg(F.sum("_size").alias("us"))
+    units = ws.stage(units.withColumn("_fine", F.substring("_h", 1, FINE_DIGITS)), "units")
+    # That bucket's own histogram, by more digits of the hash, tells in which of its parts; only that is put in order.
+    w = Window.partitionBy("_src").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
+    fine = units.groupBy("_src", "before", "rest", "_fine").agg(F.sum("us").alias("fs"))
+    fine = fine.withColumn("start", F.col("before") + F.coalesce(F.sum("fs").over(w), F.lit(0))).where("start <= rest and rest < start + fs")
+    fine = ws.stage(fine.select("_src", "_fine", "start"), "fine")
+    w = Window.partitionBy("_src", "_fine").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
+    peers = units.join(_small(fine), ["_src", "_fine"]).withColumn("upto", F.col("start") + F.sum("us").over(w)).where("upto <= rest")
+    edge = peers.groupBy("_src").agg(F.max("_h").alias("h"), F.max("upto").alias("upto"))
+    # All earlier parts are taken, whose hashes are less than this part's first digits.
+    edge = fine.join(edge, "_src", "left").select("_src", F.coalesce("h", "_fine").alias("last_h"), F.coalesce("upto", "start").alias("upto"))
     cross = cross.withColumnRenamed("_bucket", "last_bucket").drop("rest")
     src = src.join(cross, "_src", "left").join(edge, "_src", "left")
     src = src.withColumn("last_h", F.coalesce("last_h", F.lit(""))).withColumn("last_bucket", F.coalesce("last_bucket", F.lit(-1)))

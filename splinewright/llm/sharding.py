@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Workspace, global_rank, offsets, ordered, table
+from ._common import Workspace, bounded, global_rank, offsets, ordered, partitions, table
 
 #: The fewest rounds, if cells ask for them; more follow as long as the cut falls.
 ROUNDS = 8
@@ -160,7 +160,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     # Rows without a label fill the shards' room in global order.
     w = Window.partitionBy("_pid").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
     free = F.when(F.col("label").isNull(), 1).otherwise(0)
-    rows = rows.join(F.broadcast(offsets(rows, [], free, "_start")), "_pid")
+    rows = rows.join(bounded(offsets(rows, [], free, "_start"), partitions(rows.sparkSession)), "_pid")
     nth = F.col("_start") + F.coalesce(F.sum(free).over(w), F.lit(0))
     ends, end = [], 0
     for s, q in enumerate(quota):
@@ -170,7 +170,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     filler = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("_nth")))
     rows = ws.stage(rows.withColumn("shard", F.coalesce("label", filler).cast("int")).drop("_start", "_nth", "label"), "sharded")
     w = Window.partitionBy("_pid", "shard").orderBy("_m")
-    rows = rows.join(F.broadcast(offsets(rows, ["shard"], F.lit(1), "_start")), ["shard", "_pid"])
+    rows = rows.join(bounded(offsets(rows, ["shard"], F.lit(1), "_start"), len(quota) * partitions(rows.sparkSession)), ["shard", "_pid"])
     slot = (F.col("_start") + F.row_number().over(w) - 1).cast("long")
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
