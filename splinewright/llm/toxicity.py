@@ -20,7 +20,7 @@ the machine that didn't see it, turns its margins into scores.
 
 Training takes a bounded sample of the labelled rows (`TRAIN_DOCS` of each class among
 texts of up to `TRAIN_BYTES` bytes), drawn by a hash of the id and freed of near copies,
-in one task on an executor for each fold. The model has a fixed size and goes out with the tasks.
+in one task on an executor, fold by fold. The model has a fixed size and goes out with the tasks.
 
 Defined cases: a null or empty text scores as one without words; letters spelt out with
 single spaces between them count as one word; equal texts score equally; without labelled
@@ -51,7 +51,8 @@ WINDOW = 32
 CLASSES = 43
 END = 42  # stands before and after each word
 FLOOR = -3.0  # the margin of a text without words, and the lowest of any
-CACHE = 300_000  # words whose margins a worker remembers; affects time only
+WORDS = 4000  # words whose subsequences are held at a time
+CACHE = 100_000  # words whose margins a worker remembers; affects time only
 FOLDS = 4
 FALSE_FINDS = 1.0
 IMPURE = 0.1  # share of clean documents that may hold a telling word, per share of toxic ones
@@ -164,11 +165,13 @@ def _sentences(text: str) -> list[list[str]]:
 def _distinct(docs: list[tuple[str, int]]) -> list[tuple[str, list[list[str]], int]]:
     """(text, sentences, label) without documents of which a third or more was in earlier ones: copies say nothing new."""
     seen: set = set()
+    one: dict = {}  # equal words are one object: most of a fold's memory would be copies of them
     out = []
     for text, y in docs:
-        sentences = _sentences(text or "")
+        sentences = [[one.setdefault(w, w) for w in s] for s in _sentences(text or "")]
         words = [w for s in sentences for w in s]
         grams = {zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2))}
+        grams = {g for g in grams if g % 8 == 0} or grams  # by hash, an eighth says as much
         if words and len(grams & seen) * 3 < len(grams):
             out.append((text, sentences, y))
         seen |= grams
@@ -187,12 +190,16 @@ def _telling(docs) -> dict[str, float]:
     """Words that chance would hardly put into toxic documents so often, or that begin like such words, by how little."""
     n = Counter(y for *_, y in docs)
     df = {0: Counter(), 1: Counter()}
-    for _, sentences, y in docs:
-        own = {w for s in sentences for w in s}
-        df[y].update(own | {w[:k] + "*" for w in own for k in (4, 5) if len(w) > k})
+    for label in (1, 0):
+        for _, sentences, y in docs:
+            if y == label:
+                own = {w for s in sentences for w in s}
+                own |= {w[:k] + "*" for w in own for k in (4, 5) if len(w) > k}
+                # Of clean documents only what toxic ones have is counted.
+                df[y].update(own if y else own & df[1].keys())
     share = n[1] / (n[0] + n[1])
     chance = {w: _chance(k, k + df[0][w], share) for w, k in df[1].items() if k >= 3}
-    least = np.log(FALSE_FINDS / max(1, len(chance) + sum(k >= 3 for w, k in df[0].items() if w not in chance)))
+    least = np.log(FALSE_FINDS / max(1, len(chance)))
     pure = lambda w: df[0][w] * n[1] <= IMPURE * df[1][w] * n[0]
     sure = {w: p for w, p in chance.items() if p < least and pure(w)}
     out = {}
@@ -301,7 +308,7 @@ def _machine(fit: list[tuple[str, list[list[str]], int]]) -> dict | None:
     root = vec[:, good] / np.sqrt(val[good])  # K^(-1/2) on its range
 
     def project(words):
-        rows = [features(words[k : k + 512], place) @ f_marks.T for k in range(0, len(words), 512)]
+        rows = [features(words[k : k + 128], place) @ f_marks.T for k in range(0, len(words), 128)]
         return np.vstack(rows) @ root
 
     model: dict = {}
@@ -317,7 +324,7 @@ def _machine(fit: list[tuple[str, list[list[str]], int]]) -> dict | None:
         weights[place >= 0] = (f_marks.T @ (root @ w[:-1]))[place[place >= 0]]
         model = {"weights": weights, "bias": float(w[-1])}
         # Words of clean sentences that come too near join the negatives.
-        margin = np.concatenate([margins(vocabulary[k : k + 20_000], model) for k in range(0, len(vocabulary), 20_000)]) if vocabulary else np.empty(0)
+        margin = np.concatenate([margins(vocabulary[k : k + WORDS], model) for k in range(0, len(vocabulary), WORDS)]) if vocabulary else np.empty(0)
         near = [vocabulary[k] for k in np.argsort(-margin, kind="stable")[:6000] if margin[k] > -0.9]
         had = set(negatives)
         fresh = [x for x in near if x not in had and x not in telling][:1500]
@@ -344,8 +351,8 @@ def _text_margins(texts: list[str | None], model: dict, known: dict) -> np.ndarr
         if len(known) > CACHE:
             known.clear()
         fresh = list({w for ws in own for w in ws if w not in known})
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
+        for k in range(0, len(fresh), WORDS):
+            part = fresh[k : k + WORDS]
             known.update(zip(part, margins(part, model).tolist()))
         for k, ws in enumerate(own):
             if ws:
@@ -382,14 +389,14 @@ def train_on(docs: DataFrame, labels: DataFrame) -> dict | None:
         parts = [b for b in batches if len(b)]
         if parts:
             rows = pd.concat(parts, ignore_index=True).sort_values(["place", "doc_id"])
-            for k, own in rows.groupby("fold"):
-                model, m, y = fold(list(zip(own["text"], own["toxic"].astype(int))), k)
+            docs = list(zip(rows["text"], rows["toxic"].astype(int)))
+            for k in range(FOLDS):  # one after the other: two at once would need twice the memory
+                model, m, y = fold(docs, k)
                 if model:
                     yield pd.DataFrame({"fold": [k], "weights": [model["weights"].tobytes()], "bias": [model["bias"]], "m": [m.tobytes()], "y": [y.tobytes()]})
 
-    # A task for each fold; what comes back are FOLDS models and a margin for each row.
-    rows = rows.select(F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))).alias("fold"), "doc_id", "toxic", "text", order.alias("place"))
-    found = rows.repartitionByRange(FOLDS, "fold").mapInPandas(fit, "fold int, weights binary, bias double, m binary, y binary").collect()
+    # FOLDS models come back, and a margin for each row.
+    found = rows.select("doc_id", "toxic", "text", order.alias("place")).repartition(1).mapInPandas(fit, "fold int, weights binary, bias double, m binary, y binary").collect()
     found = sorted(found, key=lambda r: r["fold"])
     return combine([({"weights": np.frombuffer(r["weights"]), "bias": r["bias"]}, np.frombuffer(r["m"]), np.frombuffer(r["y"])) for r in found])
 
